@@ -5,11 +5,383 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera._ship import ship
+from tessera.functions import scalars as S
+from tessera.operators import channels, closures, dictionary, events
+from tessera.plans.codec import Event, decode, encode
+from tessera.plans.options import Options, Preserve
+from tessera.sources import binary, json, xml
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str = ""):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.rows_to_events(_t(spark, sf_dir, "customer"), "c_custkey", "customer", ["c_name", "c_nationkey", "c_mktsegment"])
+
+
+_CUSTOMER_VALUES = """
+v as (
+  select c_custkey as doc_id, 3 as seq, 'c_name' as local_name, c_name as value from customer
+  union all select c_custkey, 6, 'c_nationkey', cast(c_nationkey as varchar) from customer
+  union all select c_custkey, 9, 'c_mktsegment', c_mktsegment from customer
+)"""
+
+
+@query(f"with {_CUSTOMER_VALUES} select local_name, count(*) as n_values, count(distinct value) as n_distinct, min(length(value)) as shortest, max(length(value)) as longest from v group by local_name")
+def channel_profile(spark, sf_dir):
+    """Values of each channel over all customers."""
+    values = dictionary.values_of(_customers(spark, sf_dir))
+    return values.groupBy("local_name").agg(F.count("*").alias("n_values"), F.countDistinct("value").alias("n_distinct"), F.min(F.length("value")).cast("long").alias("shortest"), F.max(F.length("value")).cast("long").alias("longest"))
+
+
+def _event_values(spark, sf_dir):
+    """The table ``events`` as one document for each event type: values by user."""
+    e = _t(spark, sf_dir, "events")
+    return e.select((F.col("user_id") % 10).alias("doc_id"), F.col("event_id").alias("seq"), F.lit("").alias("uri"), F.col("event_type").alias("local_name"), F.col("user_id").cast("string").alias("value"))
+
+
+_EV = "e as (select user_id % 10 as doc_id, event_id as seq, '' as uri, event_type as local_name, cast(user_id as varchar) as value from events)"
+
+
+@query(f"with {_EV} select doc_id, seq, (row_number() over (partition by doc_id order by seq) - 1) // 50 as block_id from e")
+def block_assignment(spark, sf_dir):
+    return channels.blocks(_event_values(spark, sf_dir), 50).select("doc_id", "seq", "block_id")
+
+
+_CH = f"""with {_EV}, b as (select *, (row_number() over (partition by doc_id order by seq) - 1) // 400 as block_id from e),
+c as (select doc_id, block_id, local_name, count(*) as n_values, count(distinct value) as n_distinct, min(seq) as first_seq from b group by all),
+s as (select *, sum(n_values) over (partition by doc_id, block_id) as total from c),
+g as (select *, total > 100 and n_values > 100 as big from s)"""
+
+
+@query(f"{_CH} select doc_id, block_id, local_name, n_values, n_distinct, first_seq from c")
+def channel_grouping(spark, sf_dir):
+    return channels.channels(channels.blocks(_event_values(spark, sf_dir), 400)).drop("uri")
+
+
+@query(f"{_CH} select doc_id, block_id, local_name, n_values, row_number() over (partition by doc_id, block_id order by big, first_seq) - 1 as place from g")
+def channel_order(spark, sf_dir):
+    found = channels.streams(channels.channels(channels.blocks(_event_values(spark, sf_dir), 400)))
+    return found.select("doc_id", "block_id", "local_name", "n_values", "place")
+
+
+@query(
+    f"""{_CH} select doc_id, block_id, local_name, cast(case when total <= 100 then 0 when big then
+  max(case when big then 0 else 1 end) over (partition by doc_id, block_id)
+  + sum(case when big then 1 else 0 end) over (partition by doc_id, block_id order by big, first_seq rows unbounded preceding)
+  else 1 end as bigint) as stream_no from g"""
+)
+def stream_layout(spark, sf_dir):
+    found = channels.streams(channels.channels(channels.blocks(_event_values(spark, sf_dir), 400)))
+    return found.select("doc_id", "block_id", "local_name", "stream_no")
+
+
+_HITS = f"""with {_EV}, h as (select *, case when row_number() over w = 1 then 'MISS' when first_value(local_name) over w = local_name then 'LOCAL' else 'GLOBAL' end as hit
+from e window w as (partition by doc_id, value order by seq))"""
+
+
+@query(f"{_HITS} select doc_id, seq, hit from h")
+def string_table_value_hits(spark, sf_dir):
+    return dictionary.value_hits(_event_values(spark, sf_dir)).select("doc_id", "seq", "hit")
+
+
+@query(
+    f"""with {_EV}, f as (select doc_id, value, min(seq) as s, arg_min(local_name, seq) as n from e group by all)
+select doc_id, value, row_number() over (partition by doc_id order by s) - 1 as global_id, row_number() over (partition by doc_id, n order by s) - 1 as local_id from f"""
+)
+def string_table_compact_ids(spark, sf_dir):
+    return dictionary.global_ids(_event_values(spark, sf_dir)).select("doc_id", "value", F.col("global_id").cast("long").alias("global_id"), F.col("local_id").cast("long").alias("local_id"))
+
+
+@query(
+    f"""{_HITS}, r as (select doc_id, seq, cast(coalesce(sum(case when hit = 'MISS' then 1 else 0 end) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as size from h)
+select doc_id, seq, size, cast(case when size > 1 then length(bin(size - 1)) else 0 end as bigint) as bits from r"""
+)
+def running_bit_width(spark, sf_dir):
+    return dictionary.running_widths(_event_values(spark, sf_dir)).select("doc_id", "seq", "size", F.col("bits").cast("long").alias("bits"))
+
+
+@query(f"with {_EV} select doc_id, count(*) as n_values, count(distinct value) as n_global, count(distinct local_name) as n_names from e group by doc_id")
+def dictionary_sizes(spark, sf_dir):
+    return dictionary.sizes(_event_values(spark, sf_dir))
+
+
+@query("select * from (values ('customer', 0), ('c_name', 1), ('c_nationkey', 2), ('c_mktsegment', 3)) t(local_name, local_id)")
+def name_ids(spark, sf_dir):
+    found = dictionary.name_ids(_customers(spark, sf_dir))
+    return found.groupBy("local_name").agg(F.max("local_id").alias("local_id")).where("local_id is not null")
+
+
+@query("select doc_id, cast((length(bin(length(text) + 2)) + 6) // 7 as bigint) as length_bytes, cast((length(bin(length(text) + 2)) + 6) // 7 + list_sum(list_transform(string_split(text, ''), lambda c: (length(bin(unicode(c))) + 6) // 7)) as bigint) as literal_bytes from documents")
+def value_encoded_size(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", S.varint_length("length(text) + 2").cast("long").alias("length_bytes"), S.literal_size("text", 2).cast("long").alias("literal_bytes"))
+
+
+@query("select o_orderkey, year(o_orderdate) - 2000 as year, month(o_orderdate) * 32 + day(o_orderdate) as month_day, (hour(o_orderdate) * 64 + minute(o_orderdate)) * 64 + second(o_orderdate) as time from orders")
+def datetime_components(spark, sf_dir):
+    d = _t(spark, sf_dir, "orders").withColumn("w", S.datetime_wire("o_orderdate"))
+    return d.select("o_orderkey", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("year", "month_day", "time")])
+
+
+@query("select event_id, year(ts) - 2000 as year, month(ts) * 32 + day(ts) as month_day, (hour(ts) * 64 + minute(ts)) * 64 + second(ts) as time, cast(coalesce(nullif(reverse(rtrim(strftime(ts, '%f'), '0')), ''), '0') as bigint) as fraction_reversed from events")
+def datetime_fractions(spark, sf_dir):
+    d = _t(spark, sf_dir, "events").withColumn("w", S.datetime_wire("ts"))
+    return d.select("event_id", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("year", "month_day", "time", "fraction_reversed")])
+
+
+@query(
+    """with d as (select c_custkey, cast(cast(c_acctbal as decimal(12,2)) as varchar) as t from customer)
+select c_custkey, t like '-%' as negative, cast(split_part(ltrim(t, '-'), '.', 1) as bigint) as integral,
+cast(coalesce(nullif(reverse(rtrim(split_part(t, '.', 2), '0')), ''), '0') as bigint) as fraction_reversed from d"""
+)
+def decimal_parts(spark, sf_dir):
+    d = _t(spark, sf_dir, "customer").withColumn("p", S.decimal_parts("cast(cast(c_acctbal as decimal(12,2)) as string)"))
+    return d.select("c_custkey", "p.negative", "p.integral", "p.fraction_reversed")
+
+
+@query(
+    """with d as (select c_custkey, cast(round(c_acctbal * 100) as bigint) as m from customer),
+z as (select *, case when m = 0 then 0 else length(cast(m as varchar)) - length(rtrim(cast(m as varchar), '0')) end as k from d)
+select c_custkey, cast(m // cast(pow(10, k) as bigint) as bigint) as mantissa, cast(case when m = 0 then 0 else k - 2 end as bigint) as exponent from z"""
+)
+def float_mantissa_exponent(spark, sf_dir):
+    d = _t(spark, sf_dir, "customer").withColumn("p", S.float_parts("c_acctbal"))
+    return d.select("c_custkey", F.col("p.mantissa").cast("long").alias("mantissa"), F.col("p.exponent").cast("long").alias("exponent"))
+
+
+@query("select c_custkey, b < 0 as negative, case when b < 0 then -(b + 1) else b end as magnitude from (select c_custkey, cast(floor(c_acctbal) as bigint) as b from customer)")
+def integer_parts(spark, sf_dir):
+    d = _t(spark, sf_dir, "customer").withColumn("b", F.floor("c_acctbal").cast("long")).withColumn("p", S.sign_magnitude("b"))
+    return d.select("c_custkey", "p.negative", "p.magnitude")
+
+
+@query("select doc_id, case toxic when 1 then 'true' else 'false' end as toxic, cast(quality as varchar) as quality from labels")
+def normalise_values(spark, sf_dir):
+    """Booleans as 1 and 0, integers with signs and zeros."""
+    d = _t(spark, sf_dir, "labels")
+    return d.select("doc_id", S.normal_boolean("cast(toxic as string)").alias("toxic"), S.normal_integer("concat('+00', quality)").alias("quality"))
+
+
+@query("select c_custkey, list_position(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'], c_mktsegment) - 1 as idx from customer")
+def enumeration_index(spark, sf_dir):
+    values = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return _t(spark, sf_dir, "customer").select("c_custkey", S.enumeration_index("c_mktsegment", values).cast("long").alias("idx"))
+
+
+@query("select doc_id, to_base64(encode(text)) as b64, hex(encode(text)) as hex, true as valid from documents where length(text) > 0")
+def base64_hex(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").where("length(text) > 0").withColumn("b64", F.regexp_replace(F.base64(F.encode("text", "utf-8")), "[\r\n]", ""))
+    return d.select("doc_id", "b64", F.hex(F.encode("text", "utf-8")).alias("hex"), S.is_base64("b64").alias("valid"))
+
+
+@query("select doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') as replaced, trim(regexp_replace(translate(text, chr(9) || chr(10) || chr(13), '   '), ' +', ' ', 'g')) as collapsed from documents")
+def whitespace_facets(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", S.whitespace("text", "replace").alias("replaced"), S.whitespace("text", "collapse").alias("collapsed"))
+
+
+@query("select page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as text, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;') as attribute from pages")
+def xml_escapes(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", S.escape_text("html").alias("text"), S.escape_attribute("html").alias("attribute"))
+
+
+@query(f"with {_CUSTOMER_VALUES} select doc_id, cast(seq as bigint) as seq, local_name, value, 2 as depth, cast(seq - 1 as bigint) as parent_seq from v")
+def event_depth_parent(spark, sf_dir):
+    found = events.structure(_customers(spark, sf_dir)).where("kind = 'CH'")
+    return found.select("doc_id", "seq", F.element_at("path", -1).alias("local_name"), "value", F.size("path").alias("depth"), "parent_seq")
+
+
+@query("select c_custkey as doc_id, unnest(['SD','SE','SE','CH','EE','SE','CH','EE','SE','CH','EE','EE','ED']) as kind, cast(generate_subscripts(['SD','SE','SE','CH','EE','SE','CH','EE','SE','CH','EE','EE','ED'], 1) - 1 as bigint) as seq from customer")
+def rows_as_events(spark, sf_dir):
+    return _customers(spark, sf_dir).select("doc_id", "kind", "seq")
+
+
+@query("select count(*) * 2 as n, 'SE' as kind from conversations union all select count(*) * 2, 'EE' from conversations union all select count(*) * 2, 'AT' from conversations union all select count(*), 'CM' from conversations union all select count(*), 'SD' from conversations union all select count(*), 'ED' from conversations union all select count(*), 'CH' from conversations where length(trim(text)) > 0")
+def fidelity_filter(spark, sf_dir):
+    """Comments kept, instructions dropped."""
+    found = events.fidelity_filter(xml.read_xml(_conversations(spark, sf_dir), "xml"), Preserve(comments=True))
+    return found.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _conversations(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    text = F.concat(F.lit('<m turn="'), "turn", F.lit('" role="'), S.escape_attribute("role"), F.lit('"><?x y?><!--c--><t>'), S.escape_text("text"), F.lit("</t></m>"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), text.alias("xml"), "text")
+
+
+@query("select conv_id * 1000 + turn as doc_id, unnest(['role', 'turn']) as local_name, unnest([role, cast(turn as varchar)]) as value, unnest([2, 3]) as seq from conversations")
+def attribute_sort(spark, sf_dir):
+    found = events.sort_attributes(xml.read_xml(_conversations(spark, sf_dir), "xml")).where("kind = 'AT'")
+    return found.select("doc_id", "local_name", "value", "seq")
+
+
+@query("select conv_id * 1000 + turn as doc_id, '<m role=\"' || role || '\" turn=\"' || turn || '\"><?x y?><!--c--><t>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</t></m>' as xml from conversations")
+def xml_roundtrip(spark, sf_dir):
+    """Text to events and back, by the streaming serializer."""
+    return xml.write_xml(xml.read_xml(_conversations(spark, sf_dir), "xml"))
+
+
+@query("select c_custkey as doc_id, '<customer><c_name>' || c_name || '</c_name><c_nationkey>' || c_nationkey || '</c_nationkey><c_mktsegment>' || c_mktsegment || '</c_mktsegment></customer>' as xml from customer")
+def xml_serialize(spark, sf_dir):
+    """Native serializer: windows and listagg."""
+    return events.serialize(_customers(spark, sf_dir))
+
+
+def _round(spark, sf_dir, options: Options) -> DataFrame:
+    """Documents of ``conversations`` as streams and back; the text of each."""
+    back = binary.transcode(_conversations(spark, sf_dir), "xml", lambda t: encode(xml.parse(t, options.preserve), options), "data", "binary")
+    found = binary.decode_streams(back, options=options).where("kind = 'CH'")
+    return found.select("doc_id", F.col("value").alias("text"))
+
+
+_TEXTS = "select conv_id * 1000 + turn as doc_id, text from conversations where length(trim(text)) > 0"
+
+
+@query(_TEXTS)
+def exi_roundtrip_bitpacked(spark, sf_dir):
+    return _round(spark, sf_dir, Options(preserve=Preserve(comments=True, pis=True)))
+
+
+@query(_TEXTS)
+def exi_roundtrip_byte(spark, sf_dir):
+    return _round(spark, sf_dir, Options(alignment="byte-alignment"))
+
+
+@query(_TEXTS)
+def exi_roundtrip_precompress(spark, sf_dir):
+    return _round(spark, sf_dir, Options(alignment="pre-compression", block_size=2))
+
+
+@query(_TEXTS)
+def exi_roundtrip_compress(spark, sf_dir):
+    return _round(spark, sf_dir, Options(compression=True))
+
+
+@query("select c_custkey as doc_id, c_name, c_nationkey, c_mktsegment from customer")
+def exi_event_roundtrip(spark, sf_dir):
+    """Event table to streams and back to columns."""
+    back = binary.decode_streams(binary.encode_events(_customers(spark, sf_dir), Options(value_max_length=20, value_capacity=2)))
+    values = dictionary.values_of(back)
+    cols = [F.max(F.when(F.col("local_name") == c, F.col("value"))).alias(c) for c in ("c_name", "c_nationkey", "c_mktsegment")]
+    return values.groupBy("doc_id").agg(*cols).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
+@query("select * from (values (0, 'bit-packed', false, false, 1000000), (1, 'byte-alignment', false, false, 1000000), (2, 'bit-packed', true, false, 50), (3, 'pre-compression', false, true, 7)) t(doc_id, alignment, compression, fragment, block_size)")
+def exi_header_options(spark, sf_dir):
+    """Options written to headers and read back on the executors."""
+    sets = [Options(), Options(alignment="byte-alignment"), Options(compression=True, block_size=50), Options(alignment="pre-compression", fragment=True, block_size=7)]
+    one = [Event("SD"), Event("SE", "", "a"), Event("EE"), Event("ED")]
+    rows = [(i, bytearray(encode(one, o, cookie=True))) for i, o in enumerate(sets)]
+    df = ship(spark).createDataFrame(rows, "doc_id long, data binary").where(binary.has_cookie("data"))
+    schema = "alignment string, compression boolean, fragment boolean, block_size long"
+    head = F.udf(lambda b: {k: v for k, v in binary.header_struct(bytes(b)).items() if k in ("alignment", "compression", "fragment", "block_size")}, schema, useArrow=True)
+    return df.withColumn("h", head("data")).select("doc_id", "h.*")
+
+
+@query("select event_id as doc_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def json_events(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "props")
+    found = xml.event_rows(e, "props", json.to_events).where("kind = 'CH'")
+    return found.select("doc_id", F.col("value").cast("long").alias("k"))
+
+
+@query("select event_id as doc_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' as json from events")
+def json_roundtrip(spark, sf_dir):
+    """JSON to streams and back."""
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "props")
+    data = binary.transcode(e, "props", lambda t: encode(json.to_events(t)), "data", "binary")
+    return binary.transcode(data, "data", lambda b: json.from_events(list(decode(bytes(b)))), "json", "string")
+
+
+@query("select event_id as doc_id, key, cast(json_extract_string(props, '$.' || key) as bigint) as value from (select event_id, props, unnest(json_keys(props)) as key from events)")
+def json_variant(spark, sf_dir):
+    """Flat JSON by VARIANT, without Python."""
+    e = _t(spark, sf_dir, "events").selectExpr("event_id as doc_id", "parse_json(props) as v")
+    e.createOrReplaceTempView("tessera_json_variant")
+    return spark.sql("select doc_id, x.key, cast(x.value as bigint) as value from tessera_json_variant, lateral variant_explode(v) x")
+
+
+_KEYS = {"a b": "a_32.b", "map": "_.map", "x_y": "x_95.y", "é1": "_233.1", "n-1.2": "n-1.2", "1a": "_49.a"}
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in _KEYS.items()) + ") t(key, name)")
+def json_key_escape(spark, sf_dir):
+    return spark.createDataFrame([(k,) for k in _KEYS], "key string").select("key", S.escape_key("key").alias("name"))
+
+
+_TYPE_ROWS = [("xs:decimal", "xs:anySimpleType"), ("xs:integer", "xs:decimal"), ("price", "xs:decimal"), ("net", "price"), ("count", "xs:integer"), ("name", "xs:string"), ("xs:string", "xs:anySimpleType")]
+_MAP_ROWS = [("xs:decimal", "exi:string"), ("price", "exi:decimal")]
+
+
+@query("select * from (values ('xs:decimal', 'exi:string', 0), ('xs:integer', 'exi:string', 1), ('price', 'exi:decimal', 0), ('net', 'exi:decimal', 1), ('count', 'exi:string', 2)) t(type, representation, distance)")
+def dtrm_closest_ancestor(spark, sf_dir):
+    return closures.closest_ancestor(spark.createDataFrame(_TYPE_ROWS, "type string, base string"), spark.createDataFrame(_MAP_ROWS, "type string, representation string"))
+
+
+@query("select * from (values ('price', 'xs:decimal'), ('net', 'xs:decimal'), ('count', 'xs:integer'), ('name', 'xs:string'), ('xs:decimal', 'xs:anySimpleType'), ('xs:integer', 'xs:decimal'), ('xs:string', 'xs:anySimpleType')) t(type, builtin)")
+def builtin_base(spark, sf_dir):
+    return closures.builtin_base(spark.createDataFrame(_TYPE_ROWS, "type string, base string"))
+
+
+@query("with recursive h(name, head) as (values ('a', null), ('b', 'a'), ('c', 'b'), ('d', 'a'), ('e', 'c')), r as (select head, name as member from h where head is not null union all select r.head, h.name from r join h on h.head = r.member) select distinct head, member from r")
+def substitution_closure(spark, sf_dir):
+    return closures.substitution_members(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("e", "c")], "name string, head string"))
+
+
+@query("select c_custkey as doc_id, true as ok from customer")
+def encoder_completeness(spark, sf_dir):
+    return events.complete(_customers(spark, sf_dir))
+
+
+@query("select cast(0 as bigint) as n")
+def canonical_difference(spark, sf_dir):
+    """Documents and their decoded streams have equal canonical events."""
+    one = xml.read_xml(_conversations(spark, sf_dir), "xml")
+    two = binary.decode_streams(binary.encode_events(one, Options(preserve=Preserve(True, True, True, True))))
+    return events.differences(one, two).agg(F.count("*").alias("n"))
+
+
+@query("select conv_id * 1000 + turn as doc_id, text from conversations where length(trim(text)) > 0")
+def text_coalescing(spark, sf_dir):
+    """Text cut into two events and joined again."""
+    e = xml.read_xml(_conversations(spark, sf_dir), "xml").withColumn("seq", F.col("seq") * 2)
+    half = "cast(length(value) / 2 as int)"
+    cut = e.where("kind = 'CH'")
+    parts = cut.withColumn("value", F.expr(f"substring(value, 1, {half})")).unionByName(cut.withColumn("value", F.expr(f"substring(value, {half} + 1)")).withColumn("seq", F.col("seq") + 1))
+    return events.coalesce_text(e.where("kind <> 'CH'").unionByName(parts)).where("kind = 'CH'").select("doc_id", F.col("value").alias("text"))
+
+
+@query("select doc_id, length(replace(text, chr(10), chr(13) || chr(10))) - length(text) as added, true as same from documents")
+def line_endings(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").withColumn("crlf", F.regexp_replace("text", "\n", "\r\n"))
+    return d.select("doc_id", (F.length("crlf") - F.length("text")).cast("long").alias("added"), (S.line_endings("crlf") == F.col("text")).alias("same"))
+
+
+@query("select event_id, 'dateTime' as kind from events")
+def json_other_kinds(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", S.other_kind("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")").alias("kind"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
