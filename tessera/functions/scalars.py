@@ -90,7 +90,8 @@ def escape_attribute(text: str) -> Column:
 
 def character_reference(text: str) -> Column:
     """The character of ``#65`` or ``#x41``; null for others."""
-    return F.expr(f"case when {text} rlike '^#[0-9]+$' then char(cast(substring({text}, 2) as int)) when {text} rlike '^#x[0-9A-Fa-f]+$' then char(cast(conv(substring({text}, 3), 16, 10) as int)) end")
+    digits = f"if({text} like '#x%', conv(substring({text}, 3), 16, 10), substring({text}, 2))"
+    return F.expr(f"case when {text} rlike '^#([0-9]{{1,7}}|x[0-9A-Fa-f]{{1,6}})$' then decode(unhex(lpad(hex(cast({digits} as bigint)), 8, '0')), 'UTF-32') end")
 
 
 def literal_size(text: str, offset: int = 0) -> Column:
