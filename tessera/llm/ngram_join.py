@@ -284,7 +284,7 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     labels = scratch.save(items.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "labels")
     # documents without shingles have no item; their key is their own
     out = base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labels, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:

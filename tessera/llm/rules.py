@@ -97,7 +97,7 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     posterior = f"1 / (1 + exp(-({_ODDS.format(v='p.v')})))"
     share = "(aggregate(qs, 1D, (x, p) -> x + if(p.v[j] = k, {w}, 0D)) / aggregate(qs, 3D, (x, p) -> x + {w}))"
     step = f"""transform(array(transform(ps, p -> named_struct('v', p.v, 'n', p.n, 'q', {posterior}))), qs -> named_struct(
-        'prior', least(0.999D, greatest(0.001D, aggregate(qs, 0D, (x, p) -> x + p.n * p.q) / aggregate(qs, 0D, (x, p) -> x + p.n))),
+        'prior', least(0.999D, greatest(0.001D, coalesce(try_divide(aggregate(qs, 0D, (x, p) -> x + p.n * p.q), aggregate(qs, 0D, (x, p) -> x + p.n)), m.prior))),
         'ratio', transform(m.ratio, (r, j) -> transform(array(-1, 0, 1), k ->
             {share.format(w="p.n * p.q")} / {share.format(w="p.n * (1 - p.q)")}))))[0]"""
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n")))).alias("ps"))
