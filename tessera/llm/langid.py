@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from tessera.llm import _text
 from tessera.llm._runtime import Scratch, pieces
 
+#: Bytes of text that are looked up at once.
+PIECE = 1_000_000
 ROWS, HASHES = 1 << 21, 2
 MIN_COUNT, MIN_RATE = 3, 0.05
 _LETTER = np.zeros(256, bool)
@@ -68,7 +70,7 @@ def _places(keys: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offs in pieces(batch, "text"):
+        for rows, data, offs in pieces(batch, "text", PIECE):
             g, doc = grams(data, offs)
             lang = rows.column("lang").to_numpy(zero_copy_only=False).astype(np.int64)
             key, n = np.unique((lang[doc].astype(np.uint64) << np.uint64(32)) | g.astype(np.uint64), return_counts=True)
@@ -155,7 +157,7 @@ def identify(docs: DataFrame, filters: Filters | None, columns: list[str]) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for rows, data, offs in pieces(batch, "_text"):
+            for rows, data, offs in pieces(batch, "_text", PIECE):
                 names, score = model.predict(data, offs) if model else (["und"] * rows.num_rows, np.zeros(rows.num_rows))
                 out = [rows.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(names, pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
