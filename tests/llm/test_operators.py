@@ -133,14 +133,27 @@ def test_language_model(docs, empty):
 
 
 def test_tree_is_a_distribution(docs):
-    tree = lm.grow(docs.select("text").mapInArrow(lm._gather, "kind tinyint, key long, n long").where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), Scratch(docs.sparkSession, "t"))
+    tree, *_ = lm.grow(docs.select("text").mapInArrow(lm._gather, "kind tinyint, key long, n long").where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), Scratch(docs.sparkSession, "t"))
     assert len(tree.states) > 10
     for history in (b"the o", b"\n\n\n\n\n", b"zzzzz", b"0 and"):
         h = int.from_bytes(history, "big")
-        p = 10 ** tree.log10(np.array([(h << 8) | s for s in range(256)], np.uint64))
+        p = 10 ** tree.log10(np.array([(h << 8) | s for s in range(256)], np.uint64))[0]
         assert p.sum() == pytest.approx(1)
 
 
+def test_scores_do_not_depend_on_what_is_sent(docs, monkeypatch):
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+
+    def rows():
+        return {tuple(r)[:5] + (round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, train).collect()}
+
+    want = rows()
+    for edges, words_ in ((0, 0), (500, 5)):
+        monkeypatch.setattr(lm, "HOT_EDGES", edges)
+        monkeypatch.setattr(lm, "HOT_WORDS", words_)
+        assert rows() == want
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK_VECTORS", 30)
     rng = np.random.default_rng(1)
