@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera._ship import ship
 from tessera.functions import scalars as S
-from tessera.operators import channels, closures, dictionary, events
+from tessera.operators import channels, closures, dictionary, events, typed
 from tessera.plans.codec import Event, decode, encode
 from tessera.plans.options import Options, Preserve
+from tessera.plans.schema import compile_schema, tables
 from tessera.sources import binary, json, xml
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,6 +380,52 @@ def json_other_kinds(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", S.other_kind("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")").alias("kind"))
 
 
+_XSD = {
+    "order.xsd": """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:t="urn:types">
+      <xs:import namespace="urn:types" schemaLocation="lib/types.xsd"/>
+      <xs:element name="order"><xs:complexType><xs:sequence>
+        <xs:element name="customer" type="xs:long"/><xs:element name="price" type="t:money"/>
+        <xs:element name="ordered" type="xs:dateTime"/></xs:sequence>
+        <xs:attribute name="no" type="xs:unsignedLong" use="required"/><xs:attribute name="flag" type="t:flag"/><xs:attribute name="large" type="xs:boolean"/>
+      </xs:complexType></xs:element></xs:schema>""",
+    "lib/types.xsd": """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:types" xmlns:t="urn:types">
+      <xs:simpleType name="money"><xs:restriction base="xs:decimal"/></xs:simpleType>
+      <xs:simpleType name="flag"><xs:restriction base="xs:string"><xs:enumeration value="F"/><xs:enumeration value="O"/><xs:enumeration value="P"/></xs:restriction></xs:simpleType>
+    </xs:schema>""",
+}
+
+
+@query("""select o_orderkey as doc_id, o_orderkey as no, cast(list_position(['F', 'O', 'P'], o_orderstatus) - 1 as bigint) as flag, o_totalprice > 1000 as large,
+  o_custkey as customer, cast(cast(o_totalprice as decimal(12,2)) as double) as price, year(o_orderdate) as year, cast(6 as bigint) as n_valid from orders""")
+def xsd_typed_decode(spark, sf_dir):
+    """Orders as XML, typed by a compiled schema: values in canonical form, checked and cast."""
+    orders = _t(spark, sf_dir, "orders")
+    text = F.format_string(
+        '<order no="+0%s" flag="%s" large="%s"><customer>00%s</customer><price>%s00</price><ordered>%s</ordered></order>',
+        "o_orderkey", "o_orderstatus", F.when(F.col("o_totalprice") > 1000, "1").otherwise("0"), "o_custkey",
+        F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"),
+    )
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("xml"))
+    found = typed.type_values(xml.read_xml(docs, "xml"), compile_schema("order.xsd", _XSD))
+    values = found.select("doc_id", F.when(F.col("kind") == "AT", F.col("local_name")).otherwise(F.col("owner")).alias("name"), typed.canonical_value().alias("v"), "enum_index", typed.is_valid().cast("long").alias("ok"))
+
+    def one(name: str, cast: str, of: str = "v"):
+        return F.max(F.when(F.col("name") == name, F.col(of))).cast(cast)
+
+    return values.groupBy("doc_id").agg(
+        one("no", "long").alias("no"), one("flag", "long", "enum_index").alias("flag"), one("large", "boolean").alias("large"), one("customer", "long").alias("customer"),
+        one("price", "double").alias("price"), F.substring(one("ordered", "string"), 1, 4).cast("long").alias("year"), F.sum("ok").alias("n_valid"),
+    )
+
+
+@query("select * from (values ('order', 'order/type', 'customer', 'xs:long'), ('order', 'order/type', 'price', '{urn:types}money'), ('order', 'order/type', 'ordered', 'xs:dateTime')) t(element, owner, child, type)")
+def xsd_elements(spark, sf_dir):
+    """The compiled schema's tables: the children of each global element."""
+    t = tables(spark, compile_schema("order.xsd", _XSD))
+    children = t["particles"].where("kind = 'element'").select("owner", F.col("name").alias("child"), "type")
+    return t["elements"].select(F.col("name").alias("element"), F.col("type").alias("owner")).join(children, "owner").select("element", "owner", "child", "type")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
