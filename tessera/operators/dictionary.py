@@ -13,9 +13,9 @@ from tessera.functions.scalars import bit_width
 
 def values_of(events: DataFrame) -> DataFrame:
     """Attribute values under their names, and text under the name of its element."""
-    from tessera.operators.events import structure
+    from tessera.operators.events import depths
 
-    rows = structure(events)
+    rows = depths(events)
     own = Window.partitionBy("doc_id", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opened = F.last(F.when(F.col("kind") == "SE", F.struct("uri", "local_name")), True).over(own)
     rows = rows.withColumn("_o", opened).where(F.col("kind").isin("AT", "CH"))

@@ -1,9 +1,13 @@
-"""Making, filtering, ordering and relating event rows; native expressions only."""
+"""Making, filtering, ordering and relating event rows; native expressions but for the stack in ``structure``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.plans.options import Preserve
 
@@ -44,20 +48,45 @@ def sort_attributes(events: DataFrame, typed: bool = False) -> DataFrame:
     return tag.withColumn("seq", moved).drop("_tag")
 
 
-def structure(events: DataFrame) -> DataFrame:
-    """Adds depth, parent_seq and path, by windows over each document."""
+def depths(events: DataFrame) -> DataFrame:
+    """Adds depth by a running sum over each document; a start and its end have the same one."""
     doc = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.when(F.col("kind") == "SE", 1).when(F.col("kind") == "EE", -1).otherwise(0)
-    after = F.sum(step).over(doc)
-    out = events.withColumn("depth", (after + F.when(F.col("kind") == "EE", 1).otherwise(0)).cast("int"))
-    # level: how many elements stand above the event
-    out = out.withColumn("_up", F.col("depth") - F.when(F.col("kind").isin("SE", "EE"), 1).otherwise(0))
-    opened = F.when(F.col("kind") == "SE", F.struct("depth", "seq", "local_name"))
-    stack = F.collect_list(opened).over(doc)
-    keep = out.withColumn("_s", stack)
-    above = F.expr("filter(transform(sequence(1, greatest(_up, 1)), d -> element_at(filter(_s, x -> x.depth = d), -1)), x -> x.depth <= _up)")
-    keep = keep.withColumn("_a", F.when(F.col("_up") > 0, above).otherwise(F.expr("cast(array() as array<struct<depth: int, seq: bigint, local_name: string>>)")))
-    return keep.withColumn("parent_seq", F.expr("try_element_at(_a, -1).seq")).withColumn("path", F.expr("transform(_a, x -> x.local_name)")).drop("_s", "_a", "_up")
+    return events.withColumn("depth", (F.sum(step).over(doc) + F.when(F.col("kind") == "EE", 1).otherwise(0)).cast("int"))
+
+
+def structure(events: DataFrame) -> DataFrame:
+    """Adds depth, parent_seq and path (the names of the elements around an event, outermost first).
+
+    A stack over each document's sorted events: a task holds one batch and the
+    names of the open elements, whatever the document's length. An end without
+    a start leaves the stack as it is.
+    """
+    rows = events.drop("depth", "parent_seq", "path")
+    names = [*rows.columns, "depth", "parent_seq", "path"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, seqs, above = None, [], []
+        for batch in batches:
+            depth, parent, path = [], [], []
+            for d, seq, kind, name in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seq", "kind", "local_name")), strict=True):
+                if d != doc:
+                    doc, seqs, above = d, [], []
+                ends = kind == "EE" and bool(seqs)
+                if ends:
+                    seqs.pop()
+                    above.pop()
+                depth.append(len(seqs) + (ends or kind == "SE"))
+                parent.append(seqs[-1] if seqs else None)
+                path.append(list(above))
+                if kind == "SE":
+                    seqs.append(seq)
+                    above.append(name)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(depth, pa.int32()), pa.array(parent, pa.int64()), pa.array(path, pa.list_(pa.string()))], names)
+
+    added = T.StructType().add("depth", T.IntegerType()).add("parent_seq", T.LongType()).add("path", T.ArrayType(T.StringType()))
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    return dealt.mapInArrow(scan, T.StructType(rows.schema.fields + added.fields))
 
 
 def complete(events: DataFrame) -> DataFrame:
@@ -83,7 +112,7 @@ def serialize(events: DataFrame) -> DataFrame:
     """(doc_id, xml) by native expressions, for documents whose names have their prefix or no namespace."""
     doc = Window.partitionBy("doc_id").orderBy("seq")
     name = "concat(if(coalesce(prefix, '') = '', '', concat(prefix, ':')), local_name)"
-    rows = structure(events).withColumn("_n", F.expr(name))
+    rows = depths(events).withColumn("_n", F.expr(name))
     own = Window.partitionBy("doc_id", "depth").orderBy("seq")
     rows = rows.withColumn("_open", F.last(F.when(F.col("kind") == "SE", F.col("_n")), True).over(own))
     rows = rows.withColumn("_next", F.lead("kind").over(doc)).withColumn("_prev", F.lag("kind").over(doc))

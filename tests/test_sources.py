@@ -114,3 +114,15 @@ def test_scalars(spark):
     ).first()
     assert tuple(row)[:3] == ("-0.5", "0", "true") and tuple(row.d) == (15, 299)
     assert (row.e, row.f, row.g, row.h, row.i, row.k.exponent) == (False, True, "😀", False, 11, -16384)
+
+
+def test_structure_of_a_long_document(spark):
+    n = 30_000
+    made = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.explode(F.expr(f"""concat(
+      if(id = 0, array(struct(0L as seq, 'SE' as kind, 'r' as local_name)), array()),
+      array(struct(2 * id + 1 as seq, 'SE' as kind, 'k' as local_name), struct(2 * id + 2 as seq, 'EE' as kind, cast(null as string) as local_name)),
+      if(id = {n - 1}, array(struct(2 * id + 3 as seq, 'EE' as kind, cast(null as string) as local_name)), array()))""")).alias("e")).select("doc_id", "e.*", F.lit("x").alias("extra"))
+    found = events.structure(made)
+    assert {(r.depth, r.parent_seq, tuple(r.path), r.extra, r["count"]) for r in found.groupBy("depth", "parent_seq", "path", "extra").count().collect()} == {(1, None, (), "x", 2), (2, 0, ("r",), "x", 2 * n)}
+    again = events.structure(found)
+    assert again.columns == found.columns and events.structure(made.limit(0)).count() == 0
