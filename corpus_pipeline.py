@@ -2,9 +2,9 @@
 
 Each stage gets all rows that the one before kept, and its decision takes
 effect: the quality classifier and language identification drop what they
-reject, the n-gram join keeps one document of each component, mixing keeps the
-documents that the schedule takes before its first source runs dry, and packing
-gives each document its bucket and batch.
+reject, the n-gram join keeps one document of each component, mixing gives each
+document its slot and drops none, and packing gives each its bucket and batch,
+which fill in the order of the mix.
 """
 
 from __future__ import annotations
@@ -48,15 +48,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents of the mix up to the slot where its first source runs dry."""
+    """Adds the slot of each document in the mix and its place there; a source that runs dry leaves the schedule."""
     ship(spark)
-    return mixing.mix(docs)
+    return mixing.interleave(docs).select(*docs.columns, "mix_slot", "mix_pos")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the bucket, batch and place of each document."""
+    """Adds the bucket, batch and place of each document; the batches of a bucket follow the mix."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, mixed=True)
 
 
 STAGES = [

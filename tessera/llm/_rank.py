@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 50_000
 
 
-def running(df: DataFrame, group: str, weight: Column, order: list[str], n_rows: int, out: str) -> DataFrame:
+def running(df: DataFrame, group: str, weight: Column, order: list[str], n_rows: int, out: str, piece: Column | None = None) -> DataFrame:
     """Adds ``out``: the total weight of the rows before this one in its group.
 
     Rows of a group are ordered by a hash of ``order`` and then ``order``
     itself. The hash's leading bits name a bucket; a window runs within each
     bucket, and bucket totals, partially aggregated, give the offsets. A group
     that holds most rows is thereby split like any other.
+
+    With ``piece``, a number that does not fall along ``order``, rows keep the
+    order itself, and the pieces take the place of the buckets.
     """
     bits = max(4, math.ceil(math.log2(max(1.0, n_rows / ROWS_PER_BUCKET))))
-    rows = df.withColumn("_h", F.xxhash64(*order)).withColumn("_k", F.expr(f"shiftrightunsigned(_h, {64 - bits})")).withColumn("_w", weight)
+    key = F.expr(f"shiftrightunsigned(_h, {64 - bits})") if piece is None else piece
+    rows = df.withColumn("_h", F.xxhash64(*order) if piece is None else F.lit(0)).withColumn("_k", key).withColumn("_w", weight)
     inside = Window.partitionBy(group, "_k").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(group, "_k").agg(F.sum("_w").alias("_t"))
     above = Window.partitionBy(group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)

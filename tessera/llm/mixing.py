@@ -6,7 +6,9 @@ Block k of a source is released at slot floor((k-1)/w) and due by ceil(k/w);
 in each slot the released block with the earliest deadline runs. The windows
 of all sources fit into one processor since the weights add up to one, so
 earliest-deadline-first meets every deadline, and after any number of slots
-each source has had its weight's share to within less than one block. The
+each source has had its weight's share to within less than one block. A source
+that runs dry leaves: its later slots stay idle, and the windows of the others
+go on, in the same proportions to each other, until every block has run. The
 schedule repeats every P slots: it is computed once for a period, by SQL
 functions over one small row, and applied to any number of blocks by arithmetic.
 
@@ -83,7 +85,9 @@ def interleave(docs: DataFrame, alpha: float = 0.7, target: Mapping[str | None,
     """``docs`` with (mix_block, mix_slot, mix_pos, mix_in).
 
     Order the mix by (mix_slot, mix_pos). ``mix_in`` is true up to the slot in
-    which the first source would run dry; up to there the mix has its weights.
+    which the first source would run dry; up to there the mix has its weights,
+    and from there on the others have theirs among themselves. Every row of a
+    source with a weight has a slot.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     plan = scratch.save(schedule(shares_of(docs, alpha, target, period)), "schedule")
@@ -101,5 +105,5 @@ def interleave(docs: DataFrame, alpha: float = 0.7, target: Mapping[str | None,
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes before its first source runs dry."""
-    return interleave(docs, **options).where("mix_in").select(docs.columns)
+    """The rows of ``docs`` that the mix takes: all of them, but for sources that ``target`` leaves out."""
+    return interleave(docs, **options).select(docs.columns)

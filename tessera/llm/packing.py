@@ -9,7 +9,8 @@ floor(budget / boundary) documents, at least one.
 The histogram is bounded: lengths up to 512 are bins of their own, longer ones
 share 256 bins an octave, and a bin stands for its longest member. Places in a
 bucket come from running totals over hash buckets (``_rank``), so a bucket of
-any size is split over tasks.
+any size is split over tasks. Documents of a mix keep its order instead: places
+come from running totals over stretches of ``STRETCH`` slots.
 
 Defined cases: null and empty texts have one token, the end; repeated rows are
 packed each; an empty table gives an empty result; the last batch of a bucket
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm._rank import running
 from tessera.llm._words import word_array
 
+#: Slots of a mix that one window orders.
+STRETCH = 64
+
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[list[int], int]:
     """At most ``buckets`` upper bounds, ascending, and the total padding; the optimum over all choices.
@@ -64,10 +68,11 @@ def _bin(n: Column) -> Column:
     return F.when(n <= 512, n.cast("double")).otherwise(F.ceil(n / step) * step).cast("long")
 
 
-def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, tokens: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, tokens: Column | None = None, id_col: str = "doc_id", mixed: bool = False) -> DataFrame:
     """``docs`` with (n_tokens, bucket, padded_to, batch, batch_row).
 
-    ``tokens`` counts a row's tokens; by default its words and one end.
+    ``tokens`` counts a row's tokens; by default its words and one end. If
+    ``mixed``, the batches of a bucket take its documents by (mix_slot, mix_pos).
     """
     n = (F.coalesce(F.size(word_array("text")), F.lit(0)) + 1).cast("long") if tokens is None else tokens.cast("long")
     rows = docs.withColumn("n_tokens", n)
@@ -80,7 +85,8 @@ def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, tokens: Colum
         pad = F.when(F.col("n_tokens") <= bounds[i], F.lit(bounds[i])).otherwise(pad)
     sized = rows.withColumn("bucket", placed.cast("int")).withColumn("padded_to", pad.cast("long"))
     total = sum(r["c"] for r in found)
-    ranked = running(sized, "bucket", F.lit(1).cast("long"), [id_col, "n_tokens"], total, "_rank")
+    order, piece = (["mix_slot", "mix_pos", id_col], F.expr(f"mix_slot div {STRETCH}")) if mixed else ([id_col, "n_tokens"], None)
+    ranked = running(sized, "bucket", F.lit(1).cast("long"), order, total, "_rank", piece)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded_to"))).cast("long")
     out = ranked.withColumn("_room", room).withColumn("batch", F.expr("_rank div _room")).withColumn("batch_row", F.expr("_rank % _room"))
     return out.select(*docs.columns, "n_tokens", "bucket", "padded_to", "batch", "batch_row")

@@ -209,6 +209,36 @@ def test_mixing(docs, empty):
     assert {r.source for r in mixing.mix(docs, target={"s1": 1.0, None: 2.0}).select("source").distinct().collect()} <= {"s1", None}
 
 
+def test_mixing_goes_on_when_a_source_runs_dry(spark):
+    rows = [(i, "x" * 99, f"s{i % 3}") for i in range(900)] + [(900, "x", "tiny"), (901, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert sorted(r.doc_id for r in mixing.mix(docs, period=32, block=200).collect()) == list(range(902))
+    assert {r.source for r in mixing.mix(docs, target={"s0": 1.0, "tiny": 0.1}).collect()} == {"s0", "tiny"}
+    mixed = mixing.interleave(docs, period=32, block=200)
+    got = sorted(mixed.collect(), key=lambda r: (r.mix_slot, r.mix_pos))
+    assert not all(r.mix_in for r in got)
+    late = [r.source for r in got if r.source in ("s0", "s1", "s2")]
+    for t in range(0, len(late), 60):
+        assert max(abs(late[:t].count(s) - t / 3) for s in ("s0", "s1", "s2")) <= 4
+
+
+def test_mixing_packed_in_order(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, " ".join(["w"] * (i % 7 * 40 + 1)) + "x" * 900, f"s{i % 3}") for i in range(3000)] + [(3000, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = p.mixing_stage(spark, docs, "")
+    got = p.packing_stage(spark, mixed, "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(3001)) and max(r.mix_slot for r in got) > 2 * packing.STRETCH
+    by = {}
+    for r in got:
+        by.setdefault(r.bucket, []).append(r)
+    for own in by.values():
+        own.sort(key=lambda r: (r.mix_slot, r.mix_pos))
+        room = max(1, 65_536 // own[0].padded_to)
+        assert [r.batch * room + r.batch_row for r in own] == list(range(len(own)))
+
+
 def test_boundaries():
     rng = random.Random(4)
     for _ in range(20):
