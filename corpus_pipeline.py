@@ -14,23 +14,23 @@ from pyspark.sql import functions as F
 
 from tessera._ship import ship
 from tessera.llm import langid, mixing, ngram_join, packing, quality
-from tessera.llm._runtime import BROADCAST_KEYS, Scratch
+from tessera.llm._runtime import Scratch
 
 #: A document's corrected share of n-grams in its predicted language.
 LEAST_SHARE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the classifier, learnt from the labels, predicts to be of quality 0."""
+    """Drops each row that the classifier, learnt from the labels, predicts to be of quality 0.
+
+    Rows are judged by their own text: those that share a doc_id or have none like all others.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("y"))
     scratch = Scratch(spark, "quality-stage")
-    table = scratch.save(quality.features(docs), "features")
+    table = scratch.save(quality.features(docs, keep=docs.columns), "features")
     model = quality.fit(table, labels.where(~langid.held_out("doc_id", 5)))
-    bad = scratch.save(quality.apply(table, model).where("predicted = 0 and doc_id is not null").select("doc_id").distinct(), "bad")
-    n = bad.count()
-    side = F.broadcast(bad) if n <= BROADCAST_KEYS else bad.hint("merge")
-    return docs.join(side, "doc_id", "left_anti").select(docs.columns)
+    return quality.apply(table, model).where("predicted = 1").select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

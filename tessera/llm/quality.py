@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import _text
 from tessera.llm._runtime import Scratch, list_parts, lists, pieces
@@ -95,12 +96,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offs in pieces(batch, "text"):
             x = statistics(data, offs)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), lists(x.ravel(), np.full(len(x), x.shape[1]), pa.float64())], ["doc_id", "x"])
+            found = [rows.column("doc_id").cast(pa.int64()), lists(x.ravel(), np.full(len(x), x.shape[1]), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*found, *rows.columns[2:]], ["doc_id", "x", *rows.schema.names[2:]])
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x) for each row."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, "doc_id long, x array<double>")
+def _schema(fields: str, table: DataFrame) -> StructType:
+    """``fields``, and the struct ``row`` if ``table`` carries one."""
+    return StructType([*StructType.fromDDL(fields).fields, *[f for f in table.schema.fields if f.name == "row"]])
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, x) for each row; with ``keep``, also these columns of it as a struct ``row``."""
+    row = [F.struct(*keep).alias("row")] if keep else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)
+    return rows.mapInArrow(_scan, _schema("doc_id long, x array<double>", rows))
 
 
 def _rows(batch: pa.RecordBatch) -> np.ndarray:
@@ -196,14 +205,16 @@ def fit(table: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
 
 
 def apply(table: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) for each feature row."""
+    """(doc_id, score, predicted) for each feature row, with its struct ``row`` if it has one."""
+    fields = _schema("doc_id long, score double, predicted int", table)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.score(_rows(batch)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            row = [batch.column("row")] if "row" in batch.schema.names else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *row], fields.names)
 
-    return table.mapInArrow(scored, "doc_id long, score double, predicted int")
+    return table.mapInArrow(scored, fields)
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -390,3 +390,17 @@ def test_pipeline(spark, tmp_path):
     ids = {r.doc_id for r in out}
     assert len(ids) == len(out) and not ids & {300, 305, 310, 315, 400, 401} and ids <= left
     assert [n for n, _ in p.STAGES] == ["quality classifier", "language ID", "n-gram Jaccard join", "mixing sources", "packing"]
+
+
+def test_quality_stage_judges_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    text = lambda i: ("" if i % 5 else "%%% ").join(rng.choice(["the ", "thing ", "weather ", "other "]) for _ in range(60))
+    rows = [(i, text(i), "en", "s0", 0) for i in range(250)]
+    rows += [(1000, text(1), "good", "s0", 0), (1000, text(0), "bad", "s0", 0), (None, text(1), "good", "s0", 0), (None, text(0), "bad", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(250)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = p.quality_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.lang) for r in out.where("doc_id is null or doc_id >= 1000").collect()) == [(0, "good"), (1000, "good")]
