@@ -6,8 +6,9 @@ every document up to its bucket's boundary adds the fewest tokens. Inside a
 bucket, batches are filled to a token budget: each holds
 floor(budget / boundary) documents, at least one.
 
-The histogram is bounded: lengths up to 512 are bins of their own, longer ones
-share 256 bins an octave, and a bin stands for its longest member. Places in a
+Every length is a bin of its own. Distinct lengths add up to no more than the
+corpus, so there are at most sqrt(2 T) of them among T tokens, and the
+programme takes time in proportion to them. Places in a
 bucket come from running totals over hash buckets (``_rank``), so a bucket of
 any size is split over tasks. Documents of a mix keep its order instead: places
 come from running totals over stretches of ``STRETCH`` slots.
@@ -19,6 +20,9 @@ may be short.
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,24 +38,32 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[lis
     """At most ``buckets`` upper bounds, ascending, and the total padding; the optimum over all choices.
 
     ``lengths`` ascend. best[j] is the least cost of the first j lengths with
-    the layers so far; a bucket over (i, j] pads its rows to lengths[j-1].
+    the layers so far; a bucket over (i, j] pads its rows to lengths[j-1]. So
+    each i is a line in lengths[j-1], of slope -rows[i]; slopes fall and
+    lengths rise, and the least line is at the front of a queue of the lower hull.
     """
     x, c = np.array(lengths, np.int64), np.array(counts, np.int64)
     n = len(x)
     if not n:
         return [], 0
-    rows, toks = np.append(0, np.cumsum(c)), np.append(0, np.cumsum(c * x))
-    huge = np.iinfo(np.int64).max // 4
-    best = np.full(n + 1, huge)
-    best[0] = 0
+    rows, toks, x = np.append(0, np.cumsum(c)).tolist(), np.append(0, np.cumsum(c * x)).tolist(), x.tolist()
+    best: list[float] = [0, *[math.inf] * n]
     layers = []
     for _ in range(min(buckets, n)):
-        now, back = best.copy(), np.full(n + 1, -1)
+        now, back = list(best), np.full(n + 1, -1, np.int32)
+        hull: deque[tuple[int, int, int]] = deque()
         for j in range(1, n + 1):
-            cost = best[:j] + x[j - 1] * (rows[j] - rows[:j]) - (toks[j] - toks[:j])
-            i = int(cost.argmin())
-            if cost[i] < now[j]:
-                now[j], back[j] = cost[i], i
+            if best[j - 1] < math.inf:
+                r, b = rows[j - 1], best[j - 1] + toks[j - 1]
+                while len(hull) > 1 and (b - hull[-2][1]) * (hull[-1][0] - hull[-2][0]) <= (hull[-1][1] - hull[-2][1]) * (r - hull[-2][0]):
+                    hull.pop()
+                hull.append((r, b, j - 1))
+            at = x[j - 1]
+            while len(hull) > 1 and hull[1][1] - hull[1][0] * at < hull[0][1] - hull[0][0] * at:
+                hull.popleft()
+            cost = hull[0][1] - hull[0][0] * at + at * rows[j] - toks[j]
+            if cost < now[j]:
+                now[j], back[j] = cost, hull[0][2]
         layers.append(back)
         best = now
     out, j = [], n
@@ -62,12 +74,6 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[lis
     return out[::-1], int(best[n])
 
 
-def _bin(n: Column) -> Column:
-    octave = F.floor(F.log2(n.cast("double")))
-    step = F.pow(F.lit(2.0), octave - 8)
-    return F.when(n <= 512, n.cast("double")).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, tokens: Column | None = None, id_col: str = "doc_id", mixed: bool = False) -> DataFrame:
     """``docs`` with (n_tokens, bucket, padded_to, batch, batch_row).
 
@@ -76,15 +82,16 @@ def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, tokens: Colum
     """
     n = (F.coalesce(F.size(word_array("text")), F.lit(0)) + 1).cast("long") if tokens is None else tokens.cast("long")
     rows = docs.withColumn("n_tokens", n)
-    found = rows.groupBy(_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("len"), F.count("*").alias("c")).orderBy("bin").collect()
-    bounds, _ = boundaries([r["len"] for r in found], [r["c"] for r in found], buckets)
+    found = rows.groupBy("n_tokens").agg(F.count("*").alias("c")).orderBy("n_tokens").toArrow()
+    lengths, counts = (found.column(c).to_pylist() for c in ("n_tokens", "c"))
+    bounds, _ = boundaries(lengths, counts, buckets)
     placed = F.lit(len(bounds))
     pad = F.lit(bounds[-1] if bounds else 0)
     for i in range(len(bounds) - 1, -1, -1):
         placed = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(placed)
         pad = F.when(F.col("n_tokens") <= bounds[i], F.lit(bounds[i])).otherwise(pad)
     sized = rows.withColumn("bucket", placed.cast("int")).withColumn("padded_to", pad.cast("long"))
-    total = sum(r["c"] for r in found)
+    total = sum(counts)
     order, piece = (["mix_slot", "mix_pos", id_col], F.expr(f"mix_slot div {STRETCH}")) if mixed else ([id_col, "n_tokens"], None)
     ranked = running(sized, "bucket", F.lit(1).cast("long"), order, total, "_rank", piece)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded_to"))).cast("long")

@@ -255,6 +255,19 @@ def test_boundaries():
             assert cost == best and len(bounds) <= b and bounds[-1] == lens[-1]
 
 
+def test_long_lengths_are_bins_of_their_own(spark):
+    rng = random.Random(12)
+    lens = sorted(rng.sample(range(2049, 2065), 12))
+    counts = [rng.randint(1, 5) for _ in lens]
+    cost = lambda i, j: sum(c * (lens[j - 1] - n) for n, c in zip(lens[i:j], counts[i:j], strict=True))
+    best = [0] + [10**9] * len(lens)
+    for _ in range(4):
+        best = [min([best[j], *[best[i] + cost(i, j) for i in range(j)]]) for j in range(len(lens) + 1)]
+    rows = [(k, n) for k, n in enumerate(n for n, c in zip(lens, counts, strict=True) for _ in range(c))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), buckets=4, tokens=F.col("n")).collect()
+    assert len(got) == len(rows) and sum(r.padded_to - r.n_tokens for r in got) == best[-1]
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, budget=300, buckets=4).collect()
     assert len(rows) == docs.count()
