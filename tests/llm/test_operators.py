@@ -362,6 +362,23 @@ def test_chat(spark):
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_schemas_and_fields(spark):
+    nested = {"type": "object", "properties": {"k": {"type": "string", "pattern": "^a\\d+$", "maxLength": 3}}, "required": ["k"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"u": {"enum": ["C", "F", 2]}, "n": {"type": "integer", "minimum": 1, "exclusiveMaximum": 5}, "o": nested, "l": {"type": "array", "items": {"type": "number"}, "maxItems": 2}, 'q"\'': {"const": None}}, "additionalProperties": {"type": "boolean"}}
+    good = [{}, {"u": "C"}, {"u": 2.0}, {"n": 4}, {"n": 1.0}, {"o": {"k": "a12"}}, {"l": [1, 2.5]}, {"l": []}, {"more": True}, {'q"\'': None}]
+    bad = [{"u": "K"}, {"u": "2"}, {"n": 0}, {"n": 5}, {"n": 1.5}, {"n": None}, {"o": {}}, {"o": {"k": "b1"}}, {"o": {"k": "a123"}}, {"o": {"k": "a1", "z": 1}}, {"l": [1, "x"]}, {"l": [1, 2, 3]}, {"more": 1}, {'q"\'': 1}]
+    turn = lambda i, a: (i, 0, "assistant", "\n\t" + json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": a}], "name": "é", "b": {"y": 1, "x": [None]}}))
+    rows = [turn(i, a) for i, a in enumerate(good + bad)] + [(0, 1, "tool", '\r\n{"tool_call_id": "a", "content": "A", "status": "ok", "tool_calls": 3}')]
+    fields = "conv_id long, turn long, role string, text string"
+    got = chat.link(spark.createDataFrame(rows, fields), {"f": schema}).collect()
+    assert {r.conv_id: r.args_valid for r in got if r.turn == 0} == {i: i < len(good) for i in range(len(good + bad))}
+    first, result = sorted((r for r in got if r.conv_id == 0), key=lambda r: r.turn)
+    assert first.kind == "call" and first.message == '{"b":{"x":[null],"y":1},"name":"é","role":"assistant","tool_calls":[{"arguments":"{}","id":"a","name":"f"}]}'
+    assert result.kind == "result" and json.loads(result.message) == {"content": "A", "role": "tool", "status": "ok", "tool_call_id": "a", "tool_calls": 3}
+    with pytest.raises(ValueError, match="multipleOf"):
+        chat.link(spark.createDataFrame(rows, fields), {"f": {"properties": {"n": {"multipleOf": 2}}}})
+
+
 def test_warc(spark):
     rows = [(i, f"http://User@B{i % 3}.Example.org:80/p/{i % 10}?q#f", f"<p>é{i % 4}</p>") for i in range(40)]
     rows += [(40, None, None), (41, "x", ""), (42, "http://a/ b", "big" * 100000), (None, "http://n/", "<p>é1</p>"), (7, "http://seven/", "<p>é3</p>")]
