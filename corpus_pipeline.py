@@ -67,7 +67,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Training, the schedule and the dynamic programme are not SQL; tests compare run() with a brute-force version.
+#: Training, the schedule and the dynamic programme are not SQL; a test compares the rows after each stage with a
+#: brute-force version, in which only the quality model's own predictions are taken as they are.
 ORACLE_SQL = None
 
 

@@ -154,6 +154,36 @@ def test_scores_do_not_depend_on_what_is_sent(docs, monkeypatch):
         assert rows() == want
 
 
+def test_score_is_that_of_a_brute_force_tree(docs):
+    rows = docs.collect()
+    sequence = {r.doc_id: " ".join(words((r.text or "").translate(LOWER))).encode() + b"\n" for r in rows}
+    n = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
+            full = b"\n" * lm.DEPTH + sequence[r.doc_id]
+            for i in range(lm.DEPTH, len(full)):
+                for d in range(lm.DEPTH + 1):
+                    n.setdefault(full[i - d : i], Counter())[full[i]] += 1
+    total = {s: sum(c.values()) for s, c in n.items()}
+    states = {b""}
+    for s, c in n.items():
+        if s and total[s] >= lm.MIN_SEEN:
+            gain = sum(m * math.log(m / total[s] / (n[s[1:]][y] / total[s[1:]])) for y, m in c.items())
+            if gain >= lm.MIN_GAIN * len(c):
+                states |= {s[i:] for i in range(len(s))}
+
+    def p(s, y):
+        return (n[s][y] + len(n[s]) * (p(s[1:], y) if s else 1 / 256)) / (total[s] + len(n[s]))
+
+    assert max(map(len, states)) == lm.DEPTH
+    got = {r.doc_id: r.score for r in lm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()}
+    for i, text in sequence.items():
+        full = b"\n" * lm.DEPTH + text
+        at = range(lm.DEPTH, len(full))
+        longest = [next(full[k - d : k] for d in range(lm.DEPTH, -1, -1) if full[k - d : k] in states) for k in at]
+        assert got[i] == pytest.approx(sum(math.log10(p(s, full[k])) for s, k in zip(longest, at, strict=True)))
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK_VECTORS", 30)
     rng = np.random.default_rng(1)
@@ -434,3 +464,61 @@ def test_quality_stage_judges_rows(spark, tmp_path):
     out = p.quality_stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert sorted((r.doc_id or 0, r.lang) for r in out.where("doc_id is null or doc_id >= 1000").collect()) == [(0, "good"), (1000, "good")]
+
+
+def test_rows_after_each_stage(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(10)
+    vocab = {"en": ["the", "thing", "weather", "other"], "de": ["über", "schach", "enkeit", "zwölf"]}
+    rows = []
+    for i in range(300):
+        g = "de" if i % 3 == 0 else "en"
+        w = [rng.choice(vocab[g]) + rng.choice("abcdefgh") for _ in range(rng.randint(40, 90))]
+        rows.append((i, " ".join(w) + "." if i % 5 else "%%% ".join(w), g, f"s{i % 4}"))
+    for i in range(0, 60, 2):
+        w = rows[i + 1][1].split(" ")
+        w[len(w) // 2] = "edit" if i % 4 else w[len(w) // 2]
+        rows.append((300 + i, " ".join(w), "en", "s9"))
+    rows += [(1000 + i, " ".join("".join(rng.choice("jqxzkvw") for _ in range(rng.randint(3, 8))) for _ in range(60)) + ".", None, "s1") for i in range(20)]
+    rows += [(2000, "12 34", "en", None), (2001, None, "en", "s1"), (2002, "", None, "s2")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(250)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+
+    def grams(text):
+        b = b" " + bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 else 32 for x in text.encode()) + b" "
+        return [b[k : k + 4] for k in range(len(b) - 3) if sum(x != 32 for x in b[k : k + 4]) >= 2]
+
+    def quality_(docs):
+        labels = spark.read.parquet(f"{tmp_path}/labels.parquet").selectExpr("doc_id", "quality as y").where(~langid.held_out("doc_id", 5))
+        return {r.doc_id for r in quality.classify(spark.createDataFrame(docs), labels).collect() if r.predicted}
+
+    def language(docs):
+        count = {}
+        for r in docs:
+            if r.text is not None and r.lang is not None and not held(r.doc_id):
+                count.setdefault(r.lang, Counter()).update(grams(r.text))
+        rate = {g: {x: m / sum(c.values()) for x, m in c.items()} for g, c in count.items()}
+        most = lambda x: max(c.get(x, 0) for c in rate.values())
+        known = {g: {x for x, m in c.items() if m >= langid.MIN_COUNT and rate[g][x] >= langid.MIN_RATE * most(x)} for g, c in count.items()}
+        share = {r.doc_id: max(sum(x in k for x in own) / len(own) for k in known.values()) if (own := grams(r.text or "")) else 0 for r in docs}
+        assert all(abs(s - p.LEAST_SHARE) > 0.1 for s in share.values())
+        return {i for i, s in share.items() if s >= p.LEAST_SHARE}
+
+    def dedup(docs):
+        sets = {r.doc_id: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for r in docs for w in [words(r.text.translate(LOWER))]}
+        pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        return {i for i, c in closure(sorted(sets), pairs).items() if i == c}
+
+    want = [quality_, language, dedup, lambda docs: {r.doc_id for r in docs}, lambda docs: {r.doc_id for r in docs}]
+    docs, scratch, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), Scratch(spark, "stages"), []
+    for (name, stage), brute in zip(p.STAGES, want, strict=True):
+        before = docs.collect()
+        docs = scratch.save(stage(spark, docs, str(tmp_path)), name.split()[0])
+        got = [r.doc_id for r in docs.collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(before), name
+        left.append(len(got))
+    assert len(rows) > left[0] > left[1] > left[2] == left[3] == left[4]
+    run = p.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in run) == sorted(got) and all(r.n_tokens == len(words(r.text)) + 1 for r in run)
