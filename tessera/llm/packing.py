@@ -13,9 +13,14 @@ bucket come from running totals over hash buckets (``_rank``), so a bucket of
 any size is split over tasks. Documents of a mix keep its order instead: places
 come from running totals over stretches of ``STRETCH`` slots.
 
+Texts are tokenised once: the rows are written with their counts, and the
+histogram, boundaries and places are made from that table. Who needs no texts
+in the result packs the table of ``counted`` instead.
+
 Defined cases: null and empty texts have one token, the end; repeated rows are
 packed each; an empty table gives an empty result; the last batch of a bucket
-may be short.
+may be short; a document longer than the budget is a batch of its own; columns
+of the input that have the name of one that is added are replaced by it.
 """
 
 from __future__ import annotations
@@ -28,10 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._rank import running
+from tessera.llm._runtime import Scratch
 from tessera.llm._words import word_array
 
-#: Slots of a mix that one window orders.
-STRETCH = 64
+#: Slots of a mix that one window orders; bytes of a token, about.
+STRETCH, TOKEN_BYTES = 64, 8
+ADDED = ("n_tokens", "bucket", "padded_to", "batch", "batch_row")
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[list[int], int]:
@@ -74,26 +81,37 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[lis
     return out[::-1], int(best[n])
 
 
+def counted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, n_tokens) of each row: the words of its whole text, and one end."""
+    return docs.select(id_col, _tokens().alias("n_tokens"))
+
+
+def _tokens() -> Column:
+    return (F.coalesce(F.size(word_array("text")), F.lit(0)) + 1).cast("long")
+
+
 def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, tokens: Column | None = None, id_col: str = "doc_id", mixed: bool = False) -> DataFrame:
     """``docs`` with (n_tokens, bucket, padded_to, batch, batch_row).
 
     ``tokens`` counts a row's tokens; by default its words and one end. If
     ``mixed``, the batches of a bucket take its documents by (mix_slot, mix_pos).
     """
-    n = (F.coalesce(F.size(word_array("text")), F.lit(0)) + 1).cast("long") if tokens is None else tokens.cast("long")
-    rows = docs.withColumn("n_tokens", n)
-    found = rows.groupBy("n_tokens").agg(F.count("*").alias("c")).orderBy("n_tokens").toArrow()
-    lengths, counts = (found.column(c).to_pylist() for c in ("n_tokens", "c"))
+    scratch = Scratch(docs.sparkSession, "packing")
+    n = _tokens() if tokens is None else tokens.cast("long")
+    mix = [F.col(c).alias(f"_{c}") for c in ("mix_slot", "mix_pos")] if mixed else []
+    rows = scratch.save(docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), *mix, n.alias("_n")), "counted")
+    found = rows.groupBy("_n").agg(F.count("*").alias("c")).orderBy("_n").toArrow()
+    lengths, counts = (found.column(c).to_pylist() for c in ("_n", "c"))
     bounds, _ = boundaries(lengths, counts, buckets)
-    placed = F.lit(len(bounds))
-    pad = F.lit(bounds[-1] if bounds else 0)
+    placed, pad = F.lit(0), F.lit(1)
     for i in range(len(bounds) - 1, -1, -1):
-        placed = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(placed)
-        pad = F.when(F.col("n_tokens") <= bounds[i], F.lit(bounds[i])).otherwise(pad)
-    sized = rows.withColumn("bucket", placed.cast("int")).withColumn("padded_to", pad.cast("long"))
-    total = sum(counts)
-    order, piece = (["mix_slot", "mix_pos", id_col], F.expr(f"mix_slot div {STRETCH}")) if mixed else ([id_col, "n_tokens"], None)
-    ranked = running(sized, "bucket", F.lit(1).cast("long"), order, total, "_rank", piece)
-    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded_to"))).cast("long")
-    out = ranked.withColumn("_room", room).withColumn("batch", F.expr("_rank div _room")).withColumn("batch_row", F.expr("_rank % _room"))
-    return out.select(*docs.columns, "n_tokens", "bucket", "padded_to", "batch", "batch_row")
+        placed = F.when(F.col("_n") <= bounds[i], F.lit(i)).otherwise(placed)
+        pad = F.when(F.col("_n") <= bounds[i], F.lit(bounds[i])).otherwise(pad)
+    sized = rows.withColumn("_bucket", placed.cast("int")).withColumn("_pad", pad.cast("long"))
+    order, piece = (["_mix_slot", "_mix_pos", "_id"], F.expr(f"_mix_slot div {STRETCH}")) if mixed else (["_id", "_n"], None)
+    heavy = sum(m * c for m, c in zip(lengths, counts, strict=True)) * TOKEN_BYTES
+    ranked = running(sized, "_bucket", F.lit(1).cast("long"), order, sum(counts), "_rank", piece, heavy)
+    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("_pad")))).cast("long")
+    out = ranked.withColumn("_room", room).withColumn("_batch", F.expr("_rank div _room")).withColumn("_batch_row", F.expr("_rank % _room"))
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED]
+    return out.select(*kept, *[F.col(c).alias(a) for c, a in zip(("_n", "_bucket", "_pad", "_batch", "_batch_row"), ADDED, strict=True)])

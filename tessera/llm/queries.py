@@ -34,7 +34,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_table(spark, sf_dir, "documents"))
+    packed = packing.pack(packing.counted(_table(spark, sf_dir, "documents")), tokens=F.col("n_tokens"))
     return packed.select("doc_id", "n_tokens", "bucket", "padded_to", "batch", "batch_row")
 
 
