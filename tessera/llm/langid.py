@@ -10,34 +10,41 @@ corrected share decides; ties go to the first in order.
 
 N-grams are four bytes of lower-cased text in which every byte but letters is
 a blank. They are counted for each language over all training documents; one
-enters a language's filter if it was seen there at least ``MIN_COUNT`` times
-and at no less than ``MIN_RATE`` of its highest rate in any language. The
-table's size is fixed, so what is sent to executors is bounded (``ROWS`` x 8
-bytes for each 64 languages).
+enters a language's filter if it was seen there at least ``MIN_COUNT`` times,
+makes up at least ``MIN_SHARE`` of the language's n-grams, and has no less than
+``MIN_RATE`` of its highest rate in any language. So a filter holds at most
+1 / ``MIN_SHARE`` n-grams, whatever the corpus. The table gets as many rows as
+the fullest filter needs for ``FALSE`` foreign n-grams answered with yes; that
+bounds what is sent to executors by 2^24 x 8 bytes for each 64 languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a
 text with letters but without a usable n-gram gets the most frequent language
 with score 0; rows with null language teach nothing; without training rows
 everything is ``und``. Repeated rows count as often as they occur. Other
-columns of the input, and the language column in prediction, are not read.
+columns of the input, and the language column in prediction, are not read;
+columns that are asked for and have the name of one that is added are replaced
+by it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import _text
 from tessera.llm._runtime import Scratch, pieces
 
 #: Bytes of text that are looked up at once.
 PIECE = 1_000_000
-ROWS, HASHES = 1 << 21, 2
-MIN_COUNT, MIN_RATE = 3, 0.05
+HASHES, FALSE = 2, 0.01
+MIN_COUNT, MIN_SHARE, MIN_RATE = 3, 2e-6, 0.05
+ADDED = ("lang_pred", "score")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.where(_LETTER, _text.LOWER, 32).astype(np.uint8)
@@ -63,9 +70,15 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return view[good], doc[good]
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
+def _places(keys: np.ndarray, rows: int) -> np.ndarray:
     h = _text.mix(keys.astype(np.uint64))
-    return np.stack([(h >> np.uint64(24 * j)) & np.uint64(ROWS - 1) for j in range(HASHES)]).astype(np.int64)
+    return np.stack([(h >> np.uint64(24 * j)) & np.uint64(rows - 1) for j in range(HASHES)]).astype(np.int64)
+
+
+def table_rows(n: int) -> int:
+    """A power of two of rows, at which a filter of ``n`` n-grams is wrong for ``FALSE`` of all others at most."""
+    fill = FALSE ** (1 / HASHES)
+    return 1 << max(12, math.ceil(math.log2(max(n, 1) * HASHES / -math.log(1 - fill))))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,13 +90,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array((key >> np.uint64(32)).astype(np.int32)), pa.array(n)], ["g", "lang", "n"])
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = _places(batch.column("g").to_numpy())
-        lang = batch.column("lang").to_numpy().astype(np.uint64)
-        mask = (np.uint64(1) << (lang & np.uint64(63))).view(np.int64)
-        for row in at:
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array((lang >> np.uint64(6)).astype(np.int32)), pa.array(mask)], ["place", "word", "mask"])
+def _bits(rows: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column("g").to_numpy(), rows)
+            lang = batch.column("lang").to_numpy().astype(np.uint64)
+            mask = (np.uint64(1) << (lang & np.uint64(63))).view(np.int64)
+            for row in at:
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array((lang >> np.uint64(6)).astype(np.int32)), pa.array(mask)], ["place", "word", "mask"])
+
+    return scan
 
 
 class Filters:
@@ -99,7 +115,7 @@ class Filters:
         g, doc = grams(data, offs)
         n = np.bincount(doc, minlength=len(offs) - 1)
         kinds, back = np.unique(g, return_inverse=True)
-        at = _places(kinds)
+        at = _places(kinds, self.table.shape[1])
         found = self.table[:, at[0]]
         for row in at[1:]:
             found = found & self.table[:, row]
@@ -140,10 +156,12 @@ def learn(train: DataFrame, scratch: Scratch) -> Filters | None:
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
     rates = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
     most = rates.groupBy("g").agg(F.max("rate").alias("most"))
-    kept = rates.join(most, "g").where((F.col("n") >= MIN_COUNT) & (F.col("rate") >= MIN_RATE * F.col("most")))
-    bits = kept.select("g", "lang").mapInArrow(_bits, "place long, word int, mask long").groupBy("place", "word").agg(F.bit_or("mask").alias("mask"))
+    seen = (F.col("n") >= MIN_COUNT) & (F.col("rate") >= MIN_SHARE)
+    kept = scratch.save(rates.join(most, "g").where(seen & (F.col("rate") >= MIN_RATE * F.col("most"))).select("g", "lang"), "kept")
+    size = table_rows(max((r["count"] for r in kept.groupBy("lang").count().collect()), default=0))
+    bits = kept.mapInArrow(_bits(size), "place long, word int, mask long").groupBy("place", "word").agg(F.bit_or("mask").alias("mask"))
     found = bits.toArrow()
-    table = np.zeros(((len(langs) + 63) // 64, ROWS), np.uint64)
+    table = np.zeros(((len(langs) + 63) // 64, size), np.uint64)
     table[found.column("word").to_numpy(), found.column("place").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
     return Filters(langs, max(sizes, key=lambda r: (r["count"], r["lang"]))["lang"], table)
 
@@ -152,17 +170,18 @@ def identify(docs: DataFrame, filters: Filters | None, columns: list[str]) -> Da
     """``columns`` of ``docs`` with (lang_pred, score), from ``text`` alone."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
+    columns = [c for c in columns if c.lower() not in ADDED]
+    carried = docs.select(F.col("text").alias("text"), *([F.struct(*columns).alias("row")] if columns else []))
+    fields = StructType([*carried.schema.fields[1:], *StructType.fromDDL("lang_pred string, score double").fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for rows, data, offs in pieces(batch, "_text", PIECE):
+            for rows, data, offs in pieces(batch, "text", PIECE):
                 names, score = model.predict(data, offs) if model else (["und"] * rows.num_rows, np.zeros(rows.num_rows))
-                out = [rows.column(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(names, pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(names, pa.string()), pa.array(score)], fields.names)
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(scan, f"{fields}, lang_pred string, score double")
+    return carried.mapInArrow(scan, fields).select(*[F.col("row").getField(c).alias(c) for c in columns], *ADDED)
 
 
 def held_out(id_col: str, parts: int):
