@@ -8,6 +8,7 @@ a lost executor costs a task retry and never a recomputation of the whole job.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ BROADCAST_KEYS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; one of our own only if it is unset."""
+    """The folder named by the session; one of our own only if it is unset and all runs in this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

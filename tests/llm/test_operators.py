@@ -208,43 +208,107 @@ def test_near_duplicates(spark, monkeypatch):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_schedule(spark):
-    shares = {"a": 5, "b": 3, "c": 1, "d": 1, "e": 6}
-    plan = mixing.schedule(spark.createDataFrame(list(shares.items()), "g string, share int")).collect()
-    p = sum(shares.values())
-    assert sorted(r.slot for r in plan) == list(range(p))
-    for r in plan:
-        assert math.floor((r.k - 1) * p / r.share) <= r.slot < math.ceil(r.k * p / r.share)
-    for t in range(p + 1):
-        for g, a in shares.items():
-            assert abs(sum(r.g == g and r.slot < t for r in plan) - a * t / p) < 1
+def brute_mix(rows, frame, block, alpha=0.7):
+    """{doc: (slot, pos)} and the frame's lanes, by an event-driven earliest-deadline-first simulation.
+
+    ``rows``: (doc, key of the source, characters before it in the source).
+    """
+    count = Counter(g for _, g, _ in rows)
+    all_ = sum(n**alpha for n in count.values())
+    w = {g: n**alpha / all_ for g, n in count.items()}
+    big = {g: x for g, x in w.items() if 2 * frame * x >= 1}
+    tiny = [g for g in w if g not in big]
+    lanes = dict(big) | ({"p": sum(w[g] for g in tiny)} if tiny else {})
+    m = {g: math.ceil(2 * frame * x) for g, x in lanes.items()}
+    done, now, order = dict.fromkeys(lanes, 0), 0.0, []
+    while any(done[g] < m[g] for g in lanes):
+        open_ = [g for g in lanes if done[g] < m[g]]
+        free = [g for g in open_ if done[g] / m[g] <= now + 1e-12] or [min(open_, key=lambda g: done[g] / m[g])]
+        g = min(free, key=lambda g: ((done[g] + 1) / m[g], -lanes[g]))
+        order.append((g, done[g]))
+        done[g], now = done[g] + 1, now + lanes[g] / m[g]
+    return w, lanes, m, {x: k for k, x in enumerate(order)}, order, tiny
+
+
+@pytest.mark.parametrize("weights", [[0.5, 0.25, 0.25], [0.985, *[0.015 / 40] * 40], [0.34, 0.21, 0.19, 0.13, 0.07, 0.06], [1.0]])
+def test_schedule(spark, weights):
+    frame = 64
+    sources, slots = mixing.plan(spark.createDataFrame([(f"s{i}", w) for i, w in enumerate(weights)], "g string, w double"), Scratch(spark, "t"), frame)
+    of = {r.lane: r for r in sources.collect()}
+    runs = sorted(slots.collect(), key=lambda r: r.slot)
+    assert len(runs) == sum(r.m for r in of.values()) and [r.slot for r in runs] == list(range(len(runs)))
+    now, had = 0.0, Counter()
+    for r in runs:
+        size = of[r.lane].lane_w * frame / of[r.lane].m
+        assert size <= 0.5 + 1e-9 and r.k * frame / of[r.lane].m <= now + 1e-6  # released
+        had[r.lane], now = had[r.lane] + size, now + size
+        assert now <= (r.k + 1) * frame / of[r.lane].m + 0.5 + 1e-6  # due
+        assert all(abs(had[g] - x.lane_w * now) < 1 for g, x in of.items())
+    assert now == pytest.approx(frame) and all(had[g] == pytest.approx(x.lane_w * frame) for g, x in of.items())
+
+
+def test_mixing_holds_the_given_weights(spark):
+    """5,001 sources, one of a weight of 0.985; the lag is measured in the mix itself, against the weights as given."""
+    n = 20000
+    rows = [(i, "x" * 399, "hot" if i % 3 else f"t{i // 3 % 5000}") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    target = {"hot": 0.985} | {f"t{i}": 0.015 / 5000 for i in range(5000)}
+    block, frame = 2000, 256
+    got = sorted(mixing.interleave(docs, target=target, frame=frame, block=block).where("mix_in or source = 'hot'").collect(), key=lambda r: (r.mix_slot, r.mix_pos))
+    assert sum(r.source == "hot" for r in got) == sum(s == "hot" for _, _, s in rows)
+    sources, slots = mixing.plan(spark.createDataFrame([(f"s{s}", w) for s, w in target.items()], "g string, w double"), Scratch(spark, "t"), frame)
+    hot = sources.where("g = 'shot'").first()
+    assert sources.count() == 5001 and sources.select("lane").distinct().count() == 2 and abs(hot.w - 0.985) < 1e-12
+    begin, per_frame = {}, 0.0
+    size = {r.lane: r.lane_w * frame * block / r.m for r in sources.select("lane", "lane_w", "m").distinct().collect()}
+    for r in sorted(slots.collect(), key=lambda r: r.slot):
+        begin[r.slot] = per_frame
+        per_frame += size[r.lane]
+    assert per_frame == pytest.approx(frame * block)
+    at = 0
+    for r in (r for r in got if r.source == "hot"):
+        when = r.mix_slot // len(begin) * per_frame + begin[r.mix_slot % len(begin)] + r.mix_pos
+        assert abs(at - 0.985 * when) < block
+        at += 400
 
 
 def test_mixing(docs, empty):
-    rows = mixing.interleave(docs, block=200).collect()
-    assert len(rows) == docs.count() and len({(r.mix_slot, r.source) for r in rows}) == len({(r.mix_slot) for r in rows})
-    by = {}
+    rows = mixing.interleave(docs, frame=16, block=200).collect()
+    assert len(rows) == docs.count()
+    key = lambda s: "n" if s is None else f"s{s}"
+    by, places = {}, []
     for r in rows:
-        by.setdefault(r.source, []).append(r)
-    for own in by.values():
-        own.sort(key=lambda r: (r.mix_block, r.mix_pos))
+        by.setdefault(key(r.source), []).append(r)
+    for g, own in by.items():
+        own.sort(key=lambda r: (r.mix_slot, r.mix_pos))
         at = 0
         for r in own:
-            assert r.mix_block * 200 + r.mix_pos == at
+            places.append((r, g, at))
             at += len(r.text or "") + 1
-        assert [r.mix_slot for r in own] == sorted(r.mix_slot for r in own)
+    w, lanes, m, slot, order, tiny = brute_mix(places, 16, 200)
+    assert not tiny
+    for r, g, at in places:
+        share = w[g] * 16 * 200
+        k = int(at % share / (share / m[g]))
+        assert r.mix_slot == at // share * len(order) + slot[g, k] and r.mix_block == at // share * m[g] + k
+        assert abs(r.mix_pos - (at % share - k * share / m[g])) <= 1
+    dry = {}
+    for g, own in by.items():
+        end, share = sum(len(r.text or "") + 1 for r in own), w[g] * 16 * 200
+        dry[g] = end // share * len(order) + slot[g, int(end % share / (share / m[g]))]
+    assert all(r.mix_in == (r.mix_slot < min(dry.values())) for r in rows)
     assert any(not r.mix_in for r in rows) and any(r.mix_in for r in rows)
     assert mixing.mix(docs).columns == docs.columns
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).collect() == [] and mixing.interleave(empty).collect() == []
     assert {r.source for r in mixing.mix(docs, target={"s1": 1.0, None: 2.0}).select("source").distinct().collect()} <= {"s1", None}
 
 
 def test_mixing_goes_on_when_a_source_runs_dry(spark):
     rows = [(i, "x" * 99, f"s{i % 3}") for i in range(900)] + [(900, "x", "tiny"), (901, "x", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    assert sorted(r.doc_id for r in mixing.mix(docs, period=32, block=200).collect()) == list(range(902))
+    assert sorted(r.doc_id for r in mixing.mix(docs, frame=32, block=200).collect()) == list(range(902))
     assert {r.source for r in mixing.mix(docs, target={"s0": 1.0, "tiny": 0.1}).collect()} == {"s0", "tiny"}
-    mixed = mixing.interleave(docs, period=32, block=200)
+    mixed = mixing.interleave(docs, frame=32, block=200)
     got = sorted(mixed.collect(), key=lambda r: (r.mix_slot, r.mix_pos))
     assert not all(r.mix_in for r in got)
     late = [r.source for r in got if r.source in ("s0", "s1", "s2")]
@@ -252,12 +316,46 @@ def test_mixing_goes_on_when_a_source_runs_dry(spark):
         assert max(abs(late[:t].count(s) - t / 3) for s in ("s0", "s1", "s2")) <= 4
 
 
+def test_columns_with_clashing_names(spark, docs, tmp_path):
+    """Columns that the operators add or use inside: the former are replaced, all others stay."""
+    import corpus_pipeline as p
+
+    names = ["k", "slot", "mix_in", "mix_slot", "_h", "_w", "_k", "_row", "_id", "_size", "_n", "g", "w", "m", "lane", "n_tokens", "bucket", "batch", "score", "lang_pred", "row", "x", "whole", "_text"]
+    wide = docs.select("doc_id", "text", "lang", "source", *[F.lit(f"own {c}").alias(c) for c in names])
+    for df, added in ((mixing.interleave(wide), mixing.ADDED), (packing.pack(wide), packing.ADDED)):
+        rows = df.collect()
+        assert len(rows) == docs.count() and df.columns == [c for c in wide.columns if c not in added] + list(added)
+        assert all(r[c] == f"own {c}" for r in rows for c in names if c not in added)
+    assert mixing.mix(wide).columns == wide.columns and all(r[c] == f"own {c}" for r in mixing.mix(wide).collect() for c in names)
+    filters = langid.learn(wide.selectExpr("text", "'en' as lang"), Scratch(spark, "t"))
+    found = langid.identify(wide, filters, wide.columns)
+    assert all(r[c] == f"own {c}" for r in found.collect() for c in names if c not in langid.ADDED) and all(isinstance(r.score, float) for r in found.collect())
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = p.run(spark, str(tmp_path))
+    left = [c for c in names if c in out.columns and c not in (*packing.ADDED, "mix_slot")]
+    assert len(left) == len(names) - 4 and all(r[c] == f"own {c}" for r in out.collect() for c in left)
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline as p
+
+    assert packing.pack(empty).collect() == [] and packing.pack(empty.withColumns({"mix_slot": F.lit(1), "mix_pos": F.lit(1)}), mixed=True).collect() == []
+    assert ngram_join.ngram_components(empty).collect() == [] and ngram_join.deduplicate(empty).collect() == []
+    assert langid.identify(empty, None, ["doc_id"]).collect() == [] and quality.classify(empty, empty.selectExpr("doc_id", "n as y")).collect() == []
+    assert rules.judge(empty).collect() == [] and lm.score(empty, F.lit(True)).collect() == []
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert p.run(spark, str(tmp_path)).collect() == []
+
+
 def test_mixing_packed_in_order(spark):
     import corpus_pipeline as p
 
     rows = [(i, " ".join(["w"] * (i % 7 * 40 + 1)) + "x" * 900, f"s{i % 3}") for i in range(3000)] + [(3000, "x", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     mixed = p.mixing_stage(spark, docs, "")
+    assert mixed.columns == docs.columns
     got = p.packing_stage(spark, mixed, "").collect()
     assert sorted(r.doc_id for r in got) == list(range(3001)) and max(r.mix_slot for r in got) > 2 * packing.STRETCH
     by = {}
@@ -309,7 +407,7 @@ def test_packing(docs, empty):
     for b in {r.bucket for r in rows}:
         batches = sorted(k[1] for k in full if k[0] == b)
         assert batches == list(range(len(batches)))
-    assert packing.pack(empty).count() == 0
+    assert packing.pack(empty).collect() == []
 
 
 def test_language(spark):
