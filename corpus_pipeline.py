@@ -2,9 +2,14 @@
 
 Each stage gets all rows that the one before kept, and its decision takes
 effect: the quality classifier and language identification drop what they
-reject, the n-gram join keeps one document of each component, mixing gives each
-document its slot and drops none, and packing gives each its bucket and batch,
-which fill in the order of the mix.
+reject, the n-gram join keeps one document of each component, mixing brings the
+documents into the order of the mix and drops none, and packing gives each its
+slot there, its bucket and its batch; batches fill in the order of the mix.
+
+All stages but the last return the columns of the documents, whatever they are
+called. Packing adds its own and those of the mix; a column of the documents
+with the name of one of these is replaced by it. Empty tables, and tables that
+a stage has emptied, give an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +42,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops texts without a language, and those that their best language covers too little."""
     ship(spark)
     filters = langid.learn(docs.where(~langid.held_out("doc_id", 5)).select("text", "lang"), Scratch(spark, "language-stage"))
-    found = langid.identify(docs, filters, docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    found = langid.identify(docs.select("text", F.struct(*docs.columns).alias("whole")), filters, ["whole"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("whole.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +53,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the slot of each document in the mix and its place there; a source that runs dry leaves the schedule."""
+    """The documents in the order of the mix; a source that runs dry leaves the schedule."""
     ship(spark)
-    return mixing.interleave(docs).select(*docs.columns, "mix_slot", "mix_pos")
+    return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the bucket, batch and place of each document; the batches of a bucket follow the mix."""
+    """Adds the slot in the mix, which follows from the documents themselves, and bucket, batch and place of each."""
     ship(spark)
-    return packing.pack(docs, mixed=True)
+    return packing.pack(mixing.interleave(docs, added=("mix_slot", "mix_pos")), mixed=True)
 
 
 STAGES = [
