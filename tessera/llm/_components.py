@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._runtime import Scratch
+from tessera.llm._runtime import Scratch, join_counted
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One large-star or small-star step on edges (u, v).
 
-    The minimum of each neighbourhood is a partial aggregate and is joined
-    back, so that a hub of any degree is spread over tasks.
+    The minimum of each neighbourhood is a partial aggregate. It is joined
+    back by ``join_counted``: the edges of a hub of high degree stay where they
+    are, and only its minimum is sent to them.
     """
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(low, "u")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("c"))
+    joined = join_counted(both, low, ["u"], "c", 2 * n_edges if large else n_edges)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -35,14 +36,16 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     node are not returned. Raises if the rounds do not suffice.
     """
     now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges-0")
-    seen = None
+    seen, n = None, now.count()
+    if not n:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for k in range(1, most_rounds + 1):
-        now = scratch.save(_star(_star(now, True), False), f"edges-{k}")
+        now = scratch.save(_star(_star(now, True, n), False, n), f"edges-{k}")
         row = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if k > 1:
             scratch.drop(f"edges-{k - 1}")
         if tuple(row) == seen:
             nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = tuple(row)
+        seen, n = tuple(row), row[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a key column that may be broadcast; beyond it the join shuffles.
-BROADCAST_KEYS = 2_000_000
+#: Rows of a long key that may be broadcast, some 32 bytes each; beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
+#: A key with more rows than both HOT_ROWS and a HOT_KEYS-th of all is joined without a shuffle.
+HOT_ROWS, HOT_KEYS = 512, 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,6 +70,21 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFrame
     return df.join(side, on, "left_semi")
 
 
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join on keys of any skew. ``small`` has one row for each key, and in ``n`` how many rows ``big`` has of it.
+
+    Keys with more than max(HOT_ROWS, total / HOT_KEYS) of the ``total`` rows
+    are joined by broadcast, so that their rows stay spread as they are; there
+    are at most HOT_KEYS of them. All others are shuffled.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= least:
+        return big.join(small, on)
+    hot, cold = small.where(F.col(n) > least), small.where(F.col(n) <= least)
+    spread = big.join(F.broadcast(hot), on)
+    return spread.unionByName(big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

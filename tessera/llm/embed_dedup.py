@@ -11,7 +11,9 @@ and ``L`` follow from the number of vectors, the cosine and the wanted recall
 Equal vectors are one item with a weight from the start. Buckets are joined
 through hubs and checked in bounded block pairs of matrix products
 (``_blocks``); a pair that meets at several hubs counts at the smallest one.
-No pairs are written: tasks return degrees and spanning forests.
+No pairs are written: tasks return degrees and spanning forests. Buckets,
+groups and components of any size, and copies of one vector, are joined by
+``join_counted``, which leaves the rows of hot keys where they are.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and stay; vectors of different lengths never
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _text
 from tessera.llm._blocks import block_pairs, each_pair, forest, hub_members
 from tessera.llm._components import components
-from tessera.llm._runtime import Scratch, keep_keys, list_parts, lists
+from tessera.llm._runtime import Scratch, join_counted, keep_keys, list_parts, lists
 
 #: Components and vectors in a block.
 BLOCK_VALUES, BLOCK_VECTORS = 400_000, 2048
@@ -95,6 +97,23 @@ def _scan(k: int, tables: int, w: float, seed: int):
     return scan
 
 
+def met(row: np.ndarray, hub: np.ndarray, n: int, slice_: int = 2048) -> np.ndarray:
+    """Whether rows have a hub in common, as a symmetric matrix; slices of hubs bound the memory."""
+    _, col, times = np.unique(hub, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # hubs of one row join nothing
+    some = times[col] > 1
+    row, col = row[some], place[col[some]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, n), bool)
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, slice_):
+        a, b = np.searchsorted(col, (first, first + slice_))
+        m = np.zeros((n, slice_), np.float32)
+        m[row[a:b], col[a:b] - first] = 1
+        out |= m @ m.T > 0
+    return out
+
+
 def _check(cosine: float):
     def work(table: pa.Table) -> pa.RecordBatch:
         own = table.column("own").to_numpy()
@@ -105,10 +124,6 @@ def _check(cosine: float):
         dims = np.diff(offs)
         hubs, at = list_parts(table.column("hubs"))
         row = np.repeat(np.arange(len(own)), np.diff(at))
-        earlier = hubs < hub
-        ids, col = np.unique(hubs[earlier], return_inverse=True)
-        met = np.zeros((len(own), len(ids)), np.float32)
-        met[row[earlier], col] = 1
         links = np.zeros((len(own),) * 2, bool)
         for dim in np.unique(dims):
             a = np.flatnonzero((own == bi) & (dims == dim))
@@ -118,7 +133,8 @@ def _check(cosine: float):
         if bi != bj:
             links |= links.T
         np.fill_diagonal(links, False)
-        fresh = links & ~(met @ met.T > 0) if len(ids) else links
+        earlier = hubs < hub
+        fresh = links & ~met(row[earlier], hubs[earlier], len(own)) if links.any() else links
         degree = fresh @ weight
         u, v = forest(links)
         some = np.flatnonzero(degree)
@@ -139,25 +155,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
     k, tables = plan(base.count(), cosine, recall)
     hashed = scratch.save(base.where("vec_id is not null").mapInArrow(_scan(k, tables, 1.0, seed), "vec_id long, fp long, unit array<double>, keys array<long>"), "hashed")
     items = scratch.save(hashed.groupBy("fp").agg(F.min("vec_id").alias("item"), F.count("*").alias("w")), "items")
-    reps = keep_keys(hashed.withColumnRenamed("vec_id", "item"), items.select("item"), "item", items.count())
+    n_items = items.count()
+    reps = keep_keys(hashed.withColumnRenamed("vec_id", "item"), items.select("item"), "item", n_items)
     repeated = items.groupBy("item").count().where("count > 1")  # one vec_id with several vectors
     if repeated.limit(1).count():
         reps = reps.join(items.select("item", "fp"), ["item", "fp"], "left_semi")
     reps = reps.withColumn("item", F.col("fp"))
     lists_ = reps.select("item", F.explode("keys").alias("key"))
-    members = scratch.save(hub_members(lists_, ["key"], "item"), "members")
+    members = scratch.save(hub_members(lists_, ["key"], "item", n_items * tables), "members")
     known = members.groupBy("item").agg(F.sort_array(F.collect_list("hub")).alias("hubs"))
     whole = reps.select("item", "unit").dropDuplicates(["item"]).join(items.select(F.col("fp").alias("item"), "w"), "item").join(known, "item")
-    dealt = block_pairs(members.withColumn("n", F.lit(64)), "item", "n", BLOCK_VALUES, BLOCK_VECTORS)
+    widest = base.agg(F.coalesce(F.max(F.size("v")), F.lit(1)).alias("n")).first()["n"]
+    dealt = block_pairs(members.withColumn("n", F.lit(max(widest, 1))), "item", "n", BLOCK_VALUES, BLOCK_VECTORS, members.count())
     rows = dealt.select("hub", "bi", "bj", "own", "item").join(whole, "item").select("hub", "bi", "bj", "own", "item", "w", "unit", "hubs")
     found = scratch.save(each_pair(rows, _check(cosine), "u long, v long, d long"), "links")
     degree = found.where("d > 0").groupBy(F.col("u").alias("fp")).agg(F.sum("d").alias("deg"))
     comp = components(found.where("u <> v").select("u", "v"), scratch)
     named = comp.join(items.select(F.col("fp").alias("node"), "item"), "node")
-    low = named.groupBy("component").agg(F.min("item").alias("low"))
-    labels = named.join(low, "component").select(F.col("node").alias("fp"), "low")
-    state = scratch.save(items.join(degree, "fp", "left").join(labels, "fp", "left").select("fp", (F.coalesce("deg", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("low", "item").alias("component_id")), "state")
-    linked = hashed.select("vec_id", "fp").join(state, "fp").select("vec_id", "n_links", "component_id")
+    named = scratch.save(named, "named")
+    low = named.groupBy("component").agg(F.min("item").alias("low"), F.count("*").alias("c"))
+    labels = join_counted(named, low, ["component"], "c", n_items).select(F.col("node").alias("fp"), "low")
+    state = scratch.save(items.join(degree, "fp", "left").join(labels, "fp", "left").select("fp", "w", (F.coalesce("deg", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("low", "item").alias("component_id")), "state")
+    linked = join_counted(hashed.select("vec_id", "fp"), state, ["fp"], "w", hashed.count()).select("vec_id", "n_links", "component_id")
     other = base.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     bad = base.where("vec_id is not null and not coalesce(size(v) > 0 and forall(v, x -> coalesce(not isnan(x) and abs(x) < double('infinity'), false)) and exists(v, x -> x <> 0), false)")
     alone = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
