@@ -3,8 +3,8 @@
 Two documents link when the Jaccard similarity of their word-shingle sets is
 at least ``num``/``den``. If it is, they overlap in at least ceil(t*n) tokens,
 so under *any* global order of all tokens their prefixes of
-n - ceil(t*n) + l tokens share at least l tokens. A candidate has to pass this
-under three orders, and the filters are intersected before anything is verified:
+n - ceil(t*n) + l tokens share at least l tokens. This is asked for under
+three orders, first of items, then of pairs:
 
 1. token hashes, short prefix (l = 5 % of the set): most documents share too
    few prefix tokens with any other and leave here;
@@ -12,14 +12,22 @@ under three orders, and the filters are intersected before anything is verified:
 3. ascending document frequency, counted in the second prefixes: only the
    rarest shared tokens are used as keys of candidate lists.
 
-Exact copies of a set are one item from the start. Lists are joined through
-hubs and verified with whole sets in bounded block pairs (``_blocks``), which
-return spanning forests of the links, never all pairs of a group; the
-components of the forests are the components of the links.
+Items that share a key of order 3 meet in the group of a hub (``_blocks``),
+which may join more items than share a key. So each pair is tested there under
+all three orders, and the filters are intersected: it must share a key of order
+3, and as many prefix tokens of orders 1 and 2 as both of its sets ask for.
+Only pairs that pass are verified with whole sets. Verification goes in two
+steps: each item with its hub, and then the items that did not link with their
+hub with all of the group, in bounded block pairs. A group of near copies is
+done after the first step, in linear time. Tasks return spanning forests of the
+links, never all pairs of a group; the components of the forests are the
+components of the links. Exact copies of a set are one item from the start.
 
 Skew: the sorted stream of order 1 is range-partitioned on (token, item), so a
 token of any frequency spreads over tasks; order 3 joins counts that were
-partially aggregated; hub groups are cut into blocks.
+partially aggregated; hub groups are cut into blocks; keys, hubs, components
+and sets of any number of rows are joined by ``join_counted``, which leaves the
+rows of hot keys where they are.
 
 Defined cases: null or empty texts, or texts of separators only, have an empty
 set and link with nothing; repeated rows of a doc_id are copies of each other;
@@ -38,9 +46,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text
-from tessera.llm._blocks import block_pairs, each_pair, forest, hub_members
+from tessera.llm._blocks import each_pair, forest, hub_members, rest_pairs, with_hub
 from tessera.llm._components import components
-from tessera.llm._runtime import Scratch, keep_keys, list_parts, lists, pieces, shuffle_width
+from tessera.llm._runtime import Scratch, join_counted, keep_keys, list_parts, lists, pieces, shuffle_width
 
 #: Shared prefix tokens asked for under orders 1 and 2, in hundredths of the set.
 SHARE_1, SHARE_2 = 5, 25
@@ -200,32 +208,78 @@ def overlaps(fa: np.ndarray, oa: np.ndarray, fb: np.ndarray, ob: np.ndarray) ->
     return out
 
 
+class _Side:
+    """Items of one side of a block pair: whole sets, keys of order 3, and prefixes under orders 1 and 2."""
+
+    def __init__(self, fp: np.ndarray, tokens: tuple[np.ndarray, np.ndarray], keys: tuple[np.ndarray, np.ndarray]):
+        self.fp, self.tokens, self.keys = fp, tokens, keys
+        self.n = np.diff(tokens[1])
+
+    def take(self, at: np.ndarray) -> _Side:
+        def part(flat, offs):
+            n = np.diff(offs)[at]
+            return _heads(flat, np.append(offs[at], 0), n), np.append(0, np.cumsum(n))
+
+        return _Side(self.fp[at], part(*self.tokens), part(*self.keys))
+
+    def prefix(self, share: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        flat, offs = self.tokens
+        size = np.minimum(self.n, _prefix(self.n, share, num, den))
+        if share == SHARE_1:
+            return _heads(flat, offs, size), np.append(0, np.cumsum(size))
+        other = _text.mix(flat ^ _SECOND)
+        parts = [np.partition(other[a:b], s - 1)[:s] if 0 < s < b - a else other[a:b] for a, b, s in zip(offs[:-1], offs[1:], size, strict=True)]
+        return (np.concatenate(parts) if parts else other[:0]), np.append(0, np.cumsum(size))
+
+
+def candidates(a: _Side, b: _Side, num: int, den: int) -> np.ndarray:
+    """The pairs that pass the filters under every order, as a boolean matrix."""
+    out = overlaps(*a.keys, *b.keys) > 0
+    out &= np.minimum(a.n[:, None], b.n) * den >= num * np.maximum(a.n[:, None], b.n)
+    out &= a.fp[:, None] != b.fp
+    for share in (SHARE_1, SHARE_2):
+        i, j = np.flatnonzero(out.any(1)), np.flatnonzero(out.any(0))
+        if len(i):
+            x, y = a.take(i), b.take(j)
+            met = overlaps(*x.prefix(share, num, den), *y.prefix(share, num, den))
+            out[np.ix_(i, j)] &= met >= np.minimum(_asked(x.n, share)[:, None], _asked(y.n, share))
+    return out
+
+
+def linked(a: _Side, b: _Side, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the linked pairs. Few candidates are verified one by one, many by products over their rows."""
+    i, j = np.nonzero(candidates(a, b, num, den))
+    if not len(i):
+        return i, j
+    rows, cols = np.unique(i), np.unique(j)
+    if 20 * len(i) >= len(rows) * len(cols):
+        both = overlaps(*a.take(rows).tokens, *b.take(cols).tokens)[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
+    else:
+        flat, offs = a.tokens
+        both = np.empty(len(i), np.int64)
+        for r in rows:
+            own = flat[offs[r] : offs[r + 1]]
+            pairs = np.flatnonzero(i == r)
+            other, bounds = b.take(j[pairs]).tokens
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            hits = np.append(0, np.cumsum(own[at] == other))
+            both[pairs] = hits[bounds[1:]] - hits[bounds[:-1]]
+    good = both * den >= num * (a.n[i] + b.n[j] - both)
+    return i[good], j[good]
+
+
 def _verify(num: int, den: int):
     def work(table: pa.Table) -> pa.RecordBatch:
-        own = table.column("own").to_numpy()
-        fp = table.column("fp").to_numpy()
-        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        flat, offs = list_parts(table.column("tokens"))
-        n = np.diff(offs)
-
-        def side(which):
-            idx = np.flatnonzero(own == which)
-            return idx, _heads(flat, np.append(offs[idx], 0), n[idx]), np.append(0, np.cumsum(n[idx]))
-
-        ia, fa, oa = side(bi)
-        ib, fb, ob = (ia, fa, oa) if bi == bj else side(bj)
-        both = overlaps(fa, oa, fb, ob).astype(np.int64)
-        link = both * den >= num * (n[ia][:, None] + n[ib][None, :] - both)
-        if bi == bj:
-            np.fill_diagonal(link, False)
-            full, ids = link, ia
-        else:
-            full = np.zeros((len(ia) + len(ib),) * 2, bool)
-            full[: len(ia), len(ia) :] = link
-            full[len(ia) :, : len(ia)] = link.T
-            ids = np.append(ia, ib)
-        u, v = forest(full)
-        return pa.RecordBatch.from_arrays([pa.array(fp[ids[u]]), pa.array(fp[ids[v]])], ["u", "v"])
+        side = table.column("side").to_numpy()
+        tokens, offs = list_parts(table.column("tokens"))
+        every = _Side(table.column("fp").to_numpy(), (tokens.view(np.uint64), offs), list_parts(table.column("keys")))
+        a, b = (every.take(np.flatnonzero(side == k)) for k in (0, 1))
+        i, j = linked(a, b, num, den)
+        ids, at = np.unique(np.append(a.fp[i], b.fp[j]), return_inverse=True)
+        full = np.zeros((len(ids),) * 2, bool)
+        full[at[: len(i)], at[len(i) :]] = True
+        u, v = forest(full | full.T)
+        return pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["u", "v"])
 
     return work
 
@@ -248,7 +302,7 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
         small = F.ceil(F.col("n") * num / F.lit(den))
         return F.greatest(F.lit(1), F.ceil(small * share / F.lit(100)))
 
-    items = base.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    items = base.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
     items = scratch.save(items, "items")
 
     # order 1: token hashes; one row of each item
@@ -271,20 +325,34 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     take = prefix - floor_of(SHARE_2) + 1 - (prefix - F.size("s"))
     keys = shared.where(F.size("s") >= floor_of(SHARE_2)).select("fp", F.explode(F.slice(F.sort_array("s"), F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("x"))
     keys = scratch.save(keys.select("fp", F.col("x.t").alias("t")), "keys")
-    members = scratch.save(hub_members(keys, ["t"], "fp").withColumnRenamed("fp", "item"), "members")
-
-    whole = sets.select(F.col("fp").alias("item"), "n", "tokens").dropDuplicates(["item"])
-    dealt = block_pairs(members.join(items.select(F.col("fp").alias("item"), "n"), "item"), "item", "n", BLOCK_TOKENS, BLOCK_SETS)
-    rows = dealt.select("hub", "bi", "bj", "own", "item").join(whole, "item").select("hub", "bi", "bj", "own", F.col("item").alias("fp"), "tokens")
-    edges = scratch.save(each_pair(rows, _verify(num, den), "u long, v long"), "links")
-
-    names = items.select("fp", "rep")
-    named = edges.join(names.withColumnsRenamed({"fp": "u", "rep": "a"}), "u").join(names.withColumnsRenamed({"fp": "v", "rep": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = components(named, scratch)
-    labels = scratch.save(items.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "labels")
-    # documents without shingles have no item; their key is their own
-    out = base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp")).join(labels, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    members = hub_members(keys, ["t"], "fp", keys.count()).withColumnRenamed("fp", "item")
+    members = scratch.save(members.join(items.select(F.col("fp").alias("item"), "n"), "item"), "members")
+    n_members = members.count()
+    known = keys.groupBy("fp").agg(F.collect_list("t").alias("keys"))
+    whole = scratch.save(sets.select("fp", "tokens").join(known, "fp").dropDuplicates(["fp"]).withColumnRenamed("fp", "item"), "whole")
+
+    def links(dealt: DataFrame) -> DataFrame:
+        rows = dealt.select("hub", "bi", "bj", "side", "item").join(whole, "item").select("hub", "bi", "bj", "side", F.col("item").alias("fp"), "tokens", "keys")
+        return each_pair(rows, _verify(num, den), "u long, v long")
+
+    limits = ("item", "n", BLOCK_TOKENS, BLOCK_SETS, n_members)
+    star = scratch.save(links(with_hub(members, *limits)).select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")), "star")
+    done = star.select(F.col("u").alias("hub"), F.col("v").alias("item"), F.lit(True).alias("done"))  # the hub is the smallest
+    marked = scratch.save(members.join(done, ["hub", "item"], "left").withColumn("rest", F.expr("done is null and item <> hub")).drop("done"), "marked")
+    edges = star.select("u", "v")
+    if marked.where("rest").limit(1).count():
+        edges = scratch.save(edges.unionByName(links(rest_pairs(marked, "rest", *limits))), "links")
+
+    comp = components(edges, scratch)
+    named = scratch.save(comp.join(items.select(F.col("fp").alias("node"), "rep"), "node"), "named")
+    low = named.groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("c"))
+    found = join_counted(named, low, ["component"], "c", named.count()).select(F.col("node").alias("fp"), "low")
+    labels = scratch.save(items.join(found, "fp", "left").select("fp", "copies", F.coalesce("low", "rep").alias("component_id")), "labels")
+    full = F.expr("n > 0 and doc_id is not null")
+    own = join_counted(base.where(full).select("doc_id", "n", "fp"), labels, ["fp"], "copies", base.count()).select("doc_id", "n", "component_id")
+    # documents without shingles have no item, and rows without a key none to name
+    alone = base.where(~full).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return own.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:

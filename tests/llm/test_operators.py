@@ -103,6 +103,47 @@ def test_ngram_join_hot_group(spark, monkeypatch):
     assert ngram_join.deduplicate(df).count() == len(set(want.values())) + 2
 
 
+def test_pairs_pass_every_filter(monkeypatch):
+    """Linked pairs all pass; what is verified one by one or by products is the same; pairs without a shared key are not verified."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 120).astype(np.uint64))
+    sets = [np.unique(np.append(base[: 120 - rng.integers(0, 25)], rng.integers(0, 2**63, rng.integers(0, 25)).astype(np.uint64))) for _ in range(40)]
+    sets += [np.unique(rng.integers(0, 2**63, 100).astype(np.uint64)) for _ in range(40)]
+    offs = np.append(0, np.cumsum([len(x) for x in sets]))
+    keys = (np.concatenate([x[:20].view(np.int64) for x in sets]), np.arange(len(sets) + 1) * 20)
+    side = ngram_join._Side(np.arange(len(sets)), (np.concatenate(sets), offs), keys)
+    both = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    n = np.array([len(x) for x in sets])
+    want = (100 * both >= 85 * (n[:, None] + n - both)) & ~np.eye(len(sets), dtype=bool)
+    passed = ngram_join.candidates(side, side, 85, 100)
+    assert want.sum() > 20 and not (want & ~passed).any() and passed.sum() < 40 * 40
+    got = np.zeros_like(want)
+    got[ngram_join.linked(side, side, 85, 100)] = True
+    assert (got == want).all()
+    apart = side.take(np.arange(40)), side.take(np.arange(40, 80))
+    asked = []
+    plain = ngram_join.overlaps
+    monkeypatch.setattr(ngram_join, "overlaps", lambda *a: asked.append(len(a[0])) or plain(*a))
+    assert len(ngram_join.linked(*apart, 85, 100)[0]) == 0 and asked == [800]  # the keys alone
+    one = ngram_join._Side(side.fp[:1], side.take(np.arange(1)).tokens, side.take(np.arange(1)).keys)
+    few = ngram_join.linked(one, side, 85, 100)
+    assert set(few[1].tolist()) == set(np.flatnonzero(want[0]).tolist())
+
+
+def test_joins_on_hot_keys(spark, monkeypatch):
+    from tessera.llm import _runtime
+
+    monkeypatch.setattr(_runtime, "HOT_ROWS", 20)
+    monkeypatch.setattr(_runtime, "HOT_KEYS", 50)
+    rows = [(1, i) for i in range(300)] + [(k % 97 + 2, k) for k in range(300)] + [(500, 0)]
+    big = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    small = big.where("k <> 500").groupBy("k").agg(F.count("*").alias("c"), F.min("v").alias("m"))
+    got = _runtime.join_counted(big, small, ["k"], "c", 601)
+    assert sorted(map(tuple, got.select("k", "v", "m").collect())) == sorted((k, v, min(b for a, b in rows if a == k)) for k, v in rows if k != 500)
+    spread = got.where("k = 1").select(F.spark_partition_id()).distinct().count()
+    assert spread >= 7
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     a = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
@@ -184,6 +225,36 @@ def test_score_is_that_of_a_brute_force_tree(docs):
         assert got[i] == pytest.approx(sum(math.log10(p(s, full[k])) for s, k in zip(longest, at, strict=True)))
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs whose cosine is barely above 0.95, which p-stable hashing finds least often."""
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((1500, 48))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((1500, 48))
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = rng.uniform(0.9501, 0.956, 1500)[:, None]
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+    df = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embed_dedup.near_duplicates(df).collect()
+    links = sum(r.n_links for r in got)
+    assert links >= 0.99 * 3000 and all(r.component_id in (r.vec_id, r.vec_id - 1500) for r in got)
+    below = np.concatenate([a[:300], 0.9499 * a[:300] + np.sqrt(1 - 0.9499**2) * b[:300]])
+    df = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(below)], "vec_id long, embedding array<double>")
+    assert sum(r.n_links for r in embed_dedup.near_duplicates(df).collect()) == 0
+
+
+def test_meeting_at_hubs():
+    rng = np.random.default_rng(0)
+    row, hub = rng.integers(0, 30, 200), rng.integers(0, 90, 200)
+    want = np.array([[bool(set(hub[row == i]) & set(hub[row == j])) for j in range(30)] for i in range(30)])
+    np.fill_diagonal(want, False)
+    for size in (3, 2048):
+        got = embed_dedup.met(row, hub, 30, size)
+        np.fill_diagonal(got, False)
+        assert (got == want).all()
+
+
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK_VECTORS", 30)
     rng = np.random.default_rng(1)
