@@ -98,7 +98,7 @@ class Reader:
             if b < 128:
                 return value
             shift += 7
-            if shift > 140:
+            if shift > 70_000:
                 raise ValueError("unsigned value too long")
 
     def integer(self) -> int:

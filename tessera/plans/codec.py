@@ -9,11 +9,12 @@ a document teaches come before the first level, the newest first.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from typing import NamedTuple
 
 from tessera.plans.bits import Reader, Writer, width
 from tessera.plans.options import Options, read_header, write_header
+from tessera.plans.schema import Schema
 
 XML = "http://www.w3.org/XML/1998/namespace"
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
@@ -122,7 +123,7 @@ def _levels(o: Options) -> dict[str, tuple[list[str], ...]]:
         "document": (["SE"], ["DT"] * p.dtd, group),
         "end": (["ED"], group),
         "fragment": (["SE", "ED"], group),
-        "start": ([], ["EE", "AT"] + ["NS"] * p.prefixes + child, group),
+        "start": ([], ["EE", "AT"] + ["NS"] * p.prefixes + ["SC"] * o.self_contained + child, group),
         "content": (["EE"], child, group),
     }
 
@@ -191,6 +192,20 @@ class _Encoder(_Machine):
 
     def name(self, uri: str, local: str, prefix: str | None) -> None:
         self.uri(uri)
+        self.rest(uri, local, prefix)
+
+    def new_or_known(self, known: list[str], text: str) -> None:
+        """A text by its place among the known ones, or as the next of them."""
+        n = width(len(known) + 1)
+        if text in known:
+            self.w.number(known.index(text) + 1, n)
+        else:
+            self.w.number(0, n)
+            self.w.string(text)
+            known.append(text)
+
+    def rest(self, uri: str, local: str, prefix: str | None) -> None:
+        """A name whose URI is known."""
         known = self.table.locals.setdefault(uri, {})
         if local in known:
             self.w.unsigned(0)
@@ -200,7 +215,8 @@ class _Encoder(_Machine):
             known[local] = len(known)
         self.prefix(uri, prefix)
 
-    def text(self, w: Writer, name: tuple, value: str) -> None:
+    def text(self, w: Writer, name: tuple, value: str, characters=None) -> None:
+        """``characters`` writes those of a miss, behind their number."""
         t = self.table
         hit = t.at.get(value)
         if hit and hit[1] == name:
@@ -210,12 +226,20 @@ class _Encoder(_Machine):
             w.unsigned(1)
             w.number(hit[0], width(len(t.values)))
         else:
-            w.string(value, 2)
+            if characters is None:
+                w.string(value, 2)
+            else:
+                w.unsigned(len(value) + 2)
+                characters(w, value)
             t.add_value(name, value)
 
-    def value(self, name: tuple, value: str) -> None:
+    def put(self, w: Writer, name: tuple, value) -> None:
+        """A value as its channel holds it."""
+        self.text(w, name, value)
+
+    def value(self, name: tuple, value) -> None:
         if self.o.layout != "pre-compression":
-            self.text(self.w, name, value)
+            self.put(self.w, name, value)
             return
         self.channels.setdefault(name, []).append(value)
         self.values += 1
@@ -230,7 +254,7 @@ class _Encoder(_Machine):
             w = Writer(True)
             for name in group:
                 for v in self.channels[name]:
-                    self.text(w, name, v)
+                    self.put(w, name, v)
             streams.append(w.done())
         if self.values <= FEW:
             streams = [b"".join(streams)]
@@ -264,14 +288,7 @@ class _Encoder(_Machine):
             self.value(own, e.value or "")
         elif kind == "NS":
             self.uri(e.uri or "")
-            known = self.table.prefixes.setdefault(e.uri or "", [])
-            n = width(len(known) + 1)
-            if e.prefix in known:
-                w.number(known.index(e.prefix) + 1, n)
-            else:
-                w.number(0, n)
-                w.string(e.prefix or "")
-                known.append(e.prefix or "")
+            self.new_or_known(self.table.prefixes.setdefault(e.uri or "", []), e.prefix or "")
             w.number(int(bool(e.local_ns)), 1)
         elif kind == "CM":
             w.string(e.value or "")
@@ -304,12 +321,16 @@ def channel_groups(sizes: dict) -> list[list]:
     return ([few] if few else []) + [[k] for k, n in sizes.items() if n > FEW]
 
 
-def encode(events: Iterable[Event], o: Options | None = None, cookie: bool = False, in_header: bool | None = None) -> bytes:
-    """The stream of one document. Raises ValueError for events out of place or elements left open."""
+def encode(events: Iterable[Event], o: Options | None = None, cookie: bool = False, in_header: bool | None = None, schema: Schema | None = None, self_contained: Container[tuple] | None = None) -> bytes:
+    """The stream of one document, with ``schema`` by its grammars.
+
+    With the option for self-contained elements, elements with a name in
+    ``self_contained`` (by default none) are written as such. Raises ValueError
+    for events out of place or elements left open.
+    """
     o = (o or Options()).check()
-    if o.self_contained or o.schema_id or o.strict:
-        raise ValueError("self-contained elements and schemas are not supported by this codec")
-    coder, last = _Encoder(o, cookie, in_header), ""
+    coder, last = _coder(o, schema, "_Encoder")(o, cookie, in_header), ""
+    coder.apart = self_contained or ()
     for e in events:
         if last == "ED":
             raise ValueError("events after the end of the document")
@@ -320,9 +341,26 @@ def encode(events: Iterable[Event], o: Options | None = None, cookie: bool = Fal
     return coder.done()
 
 
+def _coder(o: Options, schema: Schema | None, side: str):
+    """The class, or maker, of the coder that the options and the schema ask for."""
+    if schema is None and o.schema_id == "":
+        schema = Schema({}, {}, {})
+    if schema is not None and o.schema_id is not False:
+        from tessera.plans import informed
+
+        return informed.Encoder.of(schema) if side == "_Encoder" else informed.Decoder.of(schema)
+    if o.schema_id:
+        raise ValueError(f"the stream needs the schema {o.schema_id}")
+    if o.strict or o.self_contained:
+        from tessera.plans import informed
+
+        return informed.Encoder.of(None) if side == "_Encoder" else informed.Decoder.of(None)
+    return _Encoder if side == "_Encoder" else _Decoder
+
+
 class _Decoder(_Machine):
-    def __init__(self, data: bytes, outside: Options | None):
-        o, self.r, self.header = read_header(data, outside)
+    def __init__(self, o: Options, r: Reader):
+        self.r = r
         super().__init__(o)
         self.data = b""
         self.r.aligned = o.layout != "bit-packed"
@@ -353,7 +391,16 @@ class _Decoder(_Machine):
         return known[self.r.number(width(len(known)))] if known else None
 
     def name(self) -> tuple[str, str, str | None]:
-        uri = self.uri()
+        return self.rest(self.uri())
+
+    def new_or_known(self, known: list[str]) -> str:
+        i = self.r.number(width(len(known) + 1))
+        if not i:
+            known.append(self.r.string())
+        return known[i - 1]
+
+    def rest(self, uri: str) -> tuple[str, str, str | None]:
+        """A name whose URI is known."""
         known = self.table.locals.setdefault(uri, {})
         n = self.r.unsigned()
         if n:
@@ -363,14 +410,18 @@ class _Decoder(_Machine):
             local = list(known)[self.r.number(width(len(known)))]
         return uri, local, self.prefix(uri)
 
-    def text(self, r: Reader, name: tuple) -> str:
+    def get(self, r: Reader, later) -> str:
+        """A value that is described as ``event`` left it."""
+        return self.text(r, later)
+
+    def text(self, r: Reader, name: tuple, characters=None) -> str:
         t, n = self.table, r.unsigned()
         if n == 0:
             own = t.local_values[name]
             return own[r.number(width(len(own)))]
         if n == 1:
             return t.values[r.number(width(len(t.values)))][0]
-        value = r.characters(n - 2)
+        value = r.characters(n - 2) if characters is None else characters(r, n - 2)
         if value not in t.at:
             t.add_value(name, value)
         return value
@@ -378,6 +429,8 @@ class _Decoder(_Machine):
     def event(self) -> tuple[Event, tuple | None]:
         """An event, and the channel of its value if that comes later."""
         kind, name, learnt = self.state.read(self.r)
+        if kind == "SC":
+            return self.begin_apart()
         r, later, own = self.r, None, self.stack[-1][0] if self.stack else None
         e = Event(kind)
         if kind in ("SE", "AT"):
@@ -396,11 +449,8 @@ class _Decoder(_Machine):
             later = own
         elif kind == "NS":
             uri = self.uri()
-            known = self.table.prefixes.setdefault(uri, [])
-            i = r.number(width(len(known) + 1))
-            if not i:
-                known.append(r.string())
-            e = e._replace(uri=uri, prefix=known[i - 1], local_ns=bool(r.number(1)))
+            prefix = self.new_or_known(self.table.prefixes.setdefault(uri, []))
+            e = e._replace(uri=uri, prefix=prefix, local_ns=bool(r.number(1)))
         elif kind == "CM":
             e = e._replace(value=r.string())
         elif kind == "PI":
@@ -411,20 +461,23 @@ class _Decoder(_Machine):
         elif kind == "ER":
             e = e._replace(local=r.string())
         if later and self.o.layout != "pre-compression":
-            e, later = e._replace(value=self.text(r, later)), None
+            e, later = e._replace(value=self.get(r, later)), None
         self.move(kind, name, learnt)
         return e, later
 
+    def channel(self, later) -> tuple:
+        return later
+
     def block(self) -> Iterator[Event]:
         """The events of one block of a channelled stream."""
         events: list[Event] = []
-        places: dict[tuple, list[int]] = {}
+        places: dict[tuple, list[tuple]] = {}
         n = 0
         while n < self.o.block_size:
             e, later = self.event()
             events.append(e)
             if later:
-                places.setdefault(later, []).append(len(events) - 1)
+                places.setdefault(self.channel(later), []).append((len(events) - 1, later))
                 n += 1
             if e.kind == "ED":
                 break
@@ -433,16 +486,17 @@ class _Decoder(_Machine):
             if self.o.compression and n > FEW:
                 r = Reader(self.stream(), True)
             for name in group:
-                for i in places[name]:
-                    events[i] = events[i]._replace(value=self.text(r, name))
+                for i, later in places[name]:
+                    events[i] = events[i]._replace(value=self.get(r, later))
         if events[-1].kind != "ED":
             self.r = Reader(self.stream(), True) if self.o.compression else r
         yield from events
 
 
-def decode(data: bytes, outside: Options | None = None) -> Iterator[Event]:
+def decode(data: bytes, outside: Options | None = None, schema: Schema | None = None) -> Iterator[Event]:
     """Events of a stream, from SD to ED. Raises ValueError or EOFError for streams that are not whole."""
-    coder = _Decoder(data, outside)
+    o, r, _ = read_header(data, outside)
+    coder = _coder(o.check(), schema, "_Decoder")(o, r)
     yield Event("SD")
     ended = False
     held: Event | None = None  # a start whose prefix a following namespace may give

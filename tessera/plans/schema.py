@@ -76,6 +76,9 @@ class Type:
     particles: list[Particle] = field(default_factory=list)
     attributes: list[Attribute] = field(default_factory=list)
     refs: set[str] = field(default_factory=set)  # particles that refer to global elements
+    facets: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    wild: str | None = None  # namespaces of the attribute wildcard
+    local_elements: dict[str, Element] = field(default_factory=dict)
 
 
 @dataclass
@@ -84,6 +87,9 @@ class Schema:
     attributes: dict[str, Attribute]
     types: dict[str, Type]
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "made"}  # grammars are made anew where they are used
+
     def chain(self, name: str) -> list[str]:
         """The type and its bases, nearest first."""
         out = []
@@ -189,6 +195,20 @@ def _kids(node: ElementTree.Element, *names: str) -> list[ElementTree.Element]:
     return [c for c in node if isinstance(c.tag, str) and c.tag.startswith(_TAG) and (not names or c.tag[len(_TAG) :] in names)]
 
 
+def _facets(body: ElementTree.Element) -> dict[str, tuple[str, ...]]:
+    out: dict[str, tuple[str, ...]] = {}
+    for f in body:
+        if isinstance(f.tag, str) and f.get("value") is not None and f.tag != f"{_TAG}enumeration":
+            out[f.tag[len(_TAG) :]] = (*out.get(f.tag[len(_TAG) :], ()), f.get("value"))
+    return out
+
+
+def _spaces(node: ElementTree.Element, uri: str) -> str:
+    """The namespaces of a wildcard: ##any, ##other, or URIs with ##local for none."""
+    given = node.get("namespace", "##any")
+    return " ".join((uri or "##local") if x == "##targetNamespace" else x for x in given.split())
+
+
 class _Compiler:
     GLOBALS = ("element", "attribute", "complexType", "simpleType", "group", "attributeGroup")
     MODELS = ("sequence", "choice", "all")
@@ -275,12 +295,22 @@ class _Compiler:
                 own.derivation = body.tag[len(_TAG) :]
                 own.base = self.known(text.name(body, body.get("base")))
                 if own.simple_content:
-                    own.values = tuple(f.get("value") for f in _kids(body, "enumeration"))
+                    own.values, own.facets = tuple(f.get("value") for f in _kids(body, "enumeration")), _facets(body)
             for model in _kids(body, *self.MODELS, "group"):
                 self.particles(text, model, own, None, ())
             own.attributes = self.attributes(text, body, name, ())
+            own.wild = self.attribute_wildcard(text, body)
         return name
 
+    def attribute_wildcard(self, text: _Text, body: ElementTree.Element) -> str | None:
+        for node in _kids(body, "anyAttribute"):
+            return _spaces(node, text.uri)
+        for node in _kids(body, "attributeGroup"):
+            found = self.attribute_wildcard(*self.get("attributeGroup", text.name(node, node.get("ref"))))
+            if found is not None:
+                return found
+        return None
+
     def simple(self, text: _Text, node: ElementTree.Element, name: str) -> None:
         body = _kids(node, "restriction", "list", "union")[0]
         kind = body.tag[len(_TAG) :]
@@ -293,7 +323,7 @@ class _Compiler:
             self.out.types[name] = Type(name, "xs:anySimpleType", "union", "union", members=tuple(named + inner))
         else:
             base = self.known(text.name(body, body.get("base"))) if body.get("base") else inner[0]
-            self.out.types[name] = Type(name, base, "atomic", "restriction", values=tuple(f.get("value") for f in _kids(body, "enumeration")))
+            self.out.types[name] = Type(name, base, "atomic", "restriction", values=tuple(f.get("value") for f in _kids(body, "enumeration")), facets=_facets(body))
 
     def particles(self, text: _Text, node: ElementTree.Element, own: Type, parent: int | None, groups: tuple[str, ...]) -> None:
         kind = node.tag[len(_TAG) :]
@@ -311,9 +341,10 @@ class _Compiler:
             else:
                 form = node.get("form") or text.root.get("elementFormDefault", "unqualified")
                 name = clark(text.uri if form == "qualified" else "", node.get("name"))
-                of = self.element(text, node, name, f"{own.name}/{node.get('name')}").type
+                decl = self.element(text, node, name, f"{own.name}/{node.get('name')}")
+                of, own.local_elements[name] = decl.type, decl
         elif kind == "any":
-            name = node.get("namespace", "##any")
+            name = _spaces(node, text.uri)
         elif kind == "group":
             ref = text.name(node, node.get("ref"))
             if ref in groups:
