@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera._ship import ship
 from tessera.functions import scalars as S
-from tessera.operators import channels, closures, dictionary, events, typed
+from tessera.model import EVENTS
+from tessera.operators import channels, closures, dictionary, events, typed, whitespace
 from tessera.plans.codec import Event, decode, encode
 from tessera.plans.options import Options, Preserve
 from tessera.plans.schema import compile_schema, tables
 from tessera.sources import binary, json, xml
+from tessera.tools import inspect
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,7 +158,7 @@ cast(coalesce(nullif(reverse(rtrim(split_part(t, '.', 2), '0')), ''), '0') as bi
 )
 def decimal_parts(spark, sf_dir):
     d = _t(spark, sf_dir, "customer").withColumn("p", S.decimal_parts("cast(cast(c_acctbal as decimal(12,2)) as string)"))
-    return d.select("c_custkey", "p.negative", "p.integral", "p.fraction_reversed")
+    return d.select("c_custkey", "p.negative", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("integral", "fraction_reversed")])
 
 
 @query(
@@ -187,9 +190,10 @@ def enumeration_index(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", S.enumeration_index("c_mktsegment", values).cast("long").alias("idx"))
 
 
-@query("select doc_id, to_base64(encode(text)) as b64, hex(encode(text)) as hex, true as valid from documents where length(text) > 0")
+@query("select doc_id, to_base64(encode(text)) as b64, hex(encode(text)) as hex, length(text) > 0 as valid from documents")
 def base64_hex(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("length(text) > 0").withColumn("b64", F.regexp_replace(F.base64(F.encode("text", "utf-8")), "[\r\n]", ""))
+    """The empty text has no base 64 form, but is the text of no bytes."""
+    d = _t(spark, sf_dir, "documents").withColumn("b64", F.regexp_replace(F.base64(F.encode("text", "utf-8")), "[\r\n]", ""))
     return d.select("doc_id", "b64", F.hex(F.encode("text", "utf-8")).alias("hex"), S.is_base64("b64").alias("valid"))
 
 
@@ -315,8 +319,7 @@ def json_roundtrip(spark, sf_dir):
 def json_variant(spark, sf_dir):
     """Flat JSON by VARIANT, without Python."""
     e = _t(spark, sf_dir, "events").selectExpr("event_id as doc_id", "parse_json(props) as v")
-    e.createOrReplaceTempView("tessera_json_variant")
-    return spark.sql("select doc_id, x.key, cast(x.value as bigint) as value from tessera_json_variant, lateral variant_explode(v) x")
+    return spark.sql("select doc_id, x.key, cast(x.value as bigint) as value from {docs}, lateral variant_explode(v) x", docs=e)
 
 
 _KEYS = {"a b": "a_32.b", "map": "_.map", "x_y": "x_95.y", "é1": "_233.1", "n-1.2": "n-1.2", "1a": "_49.a"}
@@ -395,18 +398,21 @@ _XSD = {
 }
 
 
-@query("""select o_orderkey as doc_id, o_orderkey as no, cast(list_position(['F', 'O', 'P'], o_orderstatus) - 1 as bigint) as flag, o_totalprice > 1000 as large,
-  o_custkey as customer, cast(cast(o_totalprice as decimal(12,2)) as double) as price, year(o_orderdate) as year, cast(6 as bigint) as n_valid from orders""")
-def xsd_typed_decode(spark, sf_dir):
-    """Orders as XML, typed by a compiled schema: values in canonical form, checked and cast."""
-    orders = _t(spark, sf_dir, "orders")
+def _orders(spark, sf_dir) -> DataFrame:
+    """Orders as XML, with values that are not in canonical form."""
     text = F.format_string(
         '<order no="+0%s" flag="%s" large="%s"><customer>00%s</customer><price>%s00</price><ordered>%s</ordered></order>',
         "o_orderkey", "o_orderstatus", F.when(F.col("o_totalprice") > 1000, "1").otherwise("0"), "o_custkey",
         F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"),
     )
-    docs = orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("xml"))
-    found = typed.type_values(xml.read_xml(docs, "xml"), compile_schema("order.xsd", _XSD))
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("xml"))
+
+
+@query("""select o_orderkey as doc_id, o_orderkey as no, cast(list_position(['F', 'O', 'P'], o_orderstatus) - 1 as bigint) as flag, o_totalprice > 1000 as large,
+  o_custkey as customer, cast(cast(o_totalprice as decimal(12,2)) as double) as price, year(o_orderdate) as year, cast(6 as bigint) as n_valid from orders""")
+def xsd_typed_decode(spark, sf_dir):
+    """Orders as XML, typed by a compiled schema: values in canonical form, checked and cast."""
+    found = typed.type_values(xml.read_xml(_orders(spark, sf_dir), "xml"), compile_schema("order.xsd", _XSD))
     values = found.select("doc_id", F.when(F.col("kind") == "AT", F.col("local_name")).otherwise(F.col("owner")).alias("name"), typed.canonical_value().alias("v"), "enum_index", typed.is_valid().cast("long").alias("ok"))
 
     def one(name: str, cast: str, of: str = "v"):
@@ -426,6 +432,182 @@ def xsd_elements(spark, sf_dir):
     return t["elements"].select(F.col("name").alias("element"), F.col("type").alias("owner")).join(children, "owner").select("element", "owner", "child", "type")
 
 
+def _informed(spark, sf_dir, options: Options) -> DataFrame:
+    """Orders to streams by the grammars of their schema and back: a column for each value, as it was decoded."""
+    schema = compile_schema("order.xsd", _XSD)
+    data = binary.transcode(_orders(spark, sf_dir), "xml", lambda t: encode(xml.parse(t, options.preserve), options, schema=schema), "data", "binary")
+    values = binary.decode_streams(data, schema=schema).withColumn("owner", F.lag("local_name").over(Window.partitionBy("doc_id").orderBy("seq")))
+    values = values.where("kind in ('AT', 'CH')").withColumn("name", F.when(F.col("kind") == "AT", F.col("local_name")).otherwise(F.col("owner")))
+    names = ("no", "flag", "large", "customer", "price", "ordered")
+    return values.groupBy("doc_id").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+
+
+_CANONICAL = """select o_orderkey as doc_id, cast(o_orderkey as varchar) as no, o_orderstatus as flag, case when o_totalprice > 1000 then 'true' else 'false' end as large,
+  cast(o_custkey as varchar) as customer, regexp_replace(cast(cast(o_totalprice as decimal(12,2)) as varchar), '([.][0-9])0$', '\\1') as price,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as ordered from orders"""
+
+
+@query(_CANONICAL)
+def exi_schema_roundtrip_strict(spark, sf_dir):
+    """Typed values come back in canonical form: numbers without signs and zeros, booleans as words."""
+    return _informed(spark, sf_dir, Options(strict=True, schema_id="order.xsd"))
+
+
+@query(_CANONICAL)
+def exi_schema_roundtrip_nonstrict(spark, sf_dir):
+    return _informed(spark, sf_dir, Options(alignment="byte-alignment", schema_id="order.xsd", preserve=Preserve(comments=True, pis=True)))
+
+
+@query(_CANONICAL)
+def exi_schema_roundtrip_channels(spark, sf_dir):
+    """Typed values in channels, in blocks of four values, compressed."""
+    return _informed(spark, sf_dir, Options(compression=True, block_size=4, schema_id="order.xsd"))
+
+
+@query("""select o_orderkey as doc_id, '+0' || o_orderkey as no, o_orderstatus as flag, case when o_totalprice > 1000 then '1' else '0' end as large,
+  '00' || o_custkey as customer, cast(cast(o_totalprice as decimal(12,2)) as varchar) || '00' as price, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as ordered from orders""")
+def exi_schema_roundtrip_lexical(spark, sf_dir):
+    """With lexical values preserved every value comes back as it was written."""
+    return _informed(spark, sf_dir, Options(schema_id="order.xsd", preserve=Preserve(lexical_values=True)))
+
+
+@query(_CANONICAL.replace("regexp_replace(cast(cast(o_totalprice as decimal(12,2)) as varchar), '([.][0-9])0$', '\\1') as price", "cast(cast(o_totalprice as decimal(12,2)) as varchar) || '00' as price"))
+def exi_datatype_map(spark, sf_dir):
+    """Prices, whose type is derived from decimal, by a map of decimal to string: they keep their zeros; integers are nearer to their own."""
+    money = (("urn:types", "money"), ("http://www.w3.org/2009/exi", "string"))
+    return _informed(spark, sf_dir, Options(schema_id="order.xsd", datatype_map=(money,)))
+
+
+@query(_TEXTS)
+def exi_self_contained(spark, sf_dir):
+    """The text's element is a fragment of its own."""
+    o = Options(self_contained=True)
+    data = binary.transcode(_conversations(spark, sf_dir), "xml", lambda t: encode(xml.parse(t, o.preserve), o, self_contained=[("", "t")]), "data", "binary")
+    return binary.decode_streams(data).where("kind = 'CH'").select("doc_id", F.col("value").alias("text"))
+
+
+@query("select conv_id as doc_id, count(*) as n_roots, cast(sum(turn) as bigint) as turns from conversations group by conv_id")
+def exi_fragment(spark, sf_dir):
+    """The turns of a conversation as the roots of one fragment."""
+    t = _t(spark, sf_dir, "conversations")
+    one = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).cast("string").alias("local_name"), v.alias("value")) for k, n, v in (("SE", "m", F.lit(None).cast("string")), ("AT", "turn", F.col("turn").cast("string")), ("EE", None, F.lit(None).cast("string")))])
+    rows = t.select(F.col("conv_id").cast("long").alias("doc_id"), "turn", F.posexplode(one).alias("k", "e")).select("doc_id", (F.col("turn") * 3 + F.col("k") + 1).alias("seq"), "e.*")
+    ends = t.select(F.col("conv_id").cast("long").alias("doc_id")).distinct().withColumn("e", F.explode(F.array(*[F.struct(F.lit(s).alias("seq"), F.lit(k).alias("kind")) for s, k in ((0, "SD"), (1 << 30, "ED"))])))
+    rows = rows.unionByName(ends.select("doc_id", "e.seq", "e.kind"), allowMissingColumns=True).withColumn("uri", F.when(F.col("local_name").isNotNull(), ""))
+    table = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(EVENTS)])
+    back = binary.decode_streams(binary.encode_events(table, Options(fragment=True)))
+    return back.groupBy("doc_id").agg(F.sum((F.col("kind") == "SE").cast("long")).alias("n_roots"), F.sum(F.when(F.col("kind") == "AT", F.col("value").cast("long"))).alias("turns"))
+
+
+@query("select event_id as doc_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' as json from events")
+def json_schema_roundtrip(spark, sf_dir):
+    """JSON by its schema, numbers in their typed form."""
+    schema = json.json_schema()
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "props")
+    data = binary.transcode(e, "props", lambda t: encode(json.to_events(t, True), json.OPTIONS, schema=schema), "data", "binary")
+    return binary.transcode(data, "data", lambda b: json.from_events(list(decode(bytes(b), None, schema))), "json", "string")
+
+
+@query("select c_custkey as doc_id, unnest(['look-ahead', 'skip', 'keep']) as blank, unnest([2, 1, 1]) as n, unnest([1, 0, 1]) as n_kept from customer")
+def blank_rules(spark, sf_dir):
+    """Blanks between tags, alone in an element, and in an element of text."""
+    text = F.concat(F.lit("<r> <a>"), S.escape_text("c_name"), F.lit("</a> <b> </b><c> </c></r>"))
+    docs = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("xml"))
+    e = events.structure(xml.read_xml(docs, "xml", Preserve(whitespace=True)))
+    found = whitespace.classify(e, F.try_element_at("path", F.lit(-1)) == "c")
+    kept = whitespace.resolve(found).where("kind = 'CH'").select("doc_id", "seq", F.lit(1).alias("kept"))
+    both = found.where("blank is not null").join(kept, ["doc_id", "seq"], "left")
+    return both.groupBy("doc_id", "blank").agg(F.count("*").cast("int").alias("n"), F.sum(F.coalesce("kept", F.lit(0))).cast("int").alias("n_kept"))
+
+
+@query("select conv_id * 1000 + turn as doc_id, unnest(['SD', 'SE', 'AT', 'AT', 'SE', 'CH', 'EE', 'EE', 'ED']) as kind, cast(generate_subscripts(['SD', 'SE', 'AT', 'AT', 'SE', 'CH', 'EE', 'EE', 'ED'], 1) - 1 as bigint) as seq from conversations")
+def empty_texts(spark, sf_dir):
+    """Elements of text that hold nothing get an empty one."""
+    e = events.fidelity_filter(xml.read_xml(_conversations(spark, sf_dir), "xml"), Preserve()).withColumn("value", F.when(F.col("kind") == "CH", "").otherwise(F.col("value")))
+    bare = e.where("kind <> 'CH'")
+    return whitespace.add_empty_texts(bare, F.col("local_name") == "t").select("doc_id", "kind", "seq")
+
+
+@query("with recursive t(type, base, variety) as (values ('a', null, 'union'), ('b', 'a', 'atomic'), ('c', 'b', 'atomic'), ('d', null, 'list')), up(type, above) as (select type, type from t union all select up.type, t.base from up join t on t.type = up.above where t.base is not null) select up.type, bool_or(t.variety = 'union') as is_union from up join t on t.type = up.above group by up.type")
+def union_varieties(spark, sf_dir):
+    return closures.union_types(spark.createDataFrame([("a", None, "union"), ("b", "a", "atomic"), ("c", "b", "atomic"), ("d", None, "list")], "type string, base string, variety string"))
+
+
+@query("select * from (values ('a', true), ('b', false), ('c', false), ('d', false)) t(type, has_subtypes)")
+def subtype_flags(spark, sf_dir):
+    return closures.with_subtypes(spark.createDataFrame([("a", None, True), ("b", "a", True), ("c", "b", False), ("d", None, True)], "type string, base string, named boolean"))
+
+
+@query("select o_orderkey, cast(year(o_orderdate) as bigint) as year, cast(month(o_orderdate) as bigint) as month, cast(day(o_orderdate) as bigint) as day, cast(-510 as bigint) as zone, '5' as fraction, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.5-08:30' as text from orders")
+def datetime_texts(spark, sf_dir):
+    """Texts to parts and back."""
+    d = _t(spark, sf_dir, "orders").withColumn("t", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'.50-08:30'")).withColumn("p", S.datetime_parts("t", "dateTime"))
+    return d.select("o_orderkey", "p.year", "p.month", "p.day", "p.zone", "p.fraction", S.format_datetime("p", "dateTime").alias("text"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%dZ') as date, strftime(o_orderdate, '--%m-%d') as month_day, strftime(o_orderdate, '%Y') as year, strftime(o_orderdate, '%H:%M:%S') as time from orders")
+def date_formats(spark, sf_dir):
+    """Each kind of date from its own text."""
+    d = _t(spark, sf_dir, "orders")
+    for kind, name, form in (("date", "date", "yyyy-MM-dd'Z'"), ("gMonthDay", "month_day", "'--'MM-dd"), ("gYear", "year", "yyyy"), ("time", "time", "HH:mm:ss")):
+        d = d.withColumn(f"_{name}", S.datetime_parts(f"date_format(o_orderdate, {_sql(form)})", kind)).withColumn(name, S.format_datetime(f"_{name}", kind))
+    return d.select("o_orderkey", "date", "month_day", "year", "time")
+
+
+def _sql(text: str) -> str:
+    return '"' + text + '"'
+
+
+@query("select c_custkey, cast(c_nationkey as bigint) as nation_offset, 5 as bits, cast(case when c_acctbal < 0 then 1 else 0 end as bigint) as one_bit, cast(case when c_acctbal < 0 then 3 else 0 end as bigint) as two_bits from customer")
+def small_values(spark, sf_dir):
+    """Integers of a small range, booleans of one bit and of two."""
+    d = _t(spark, sf_dir, "customer").withColumn("b", S.bounded_integer("c_nationkey", 0, 24))
+    return d.select("c_custkey", F.col("b.offset").alias("nation_offset"), F.col("b.bits").cast("int").alias("bits"), S.boolean_code("if(c_acctbal < 0, ' 1', '0')").alias("one_bit"), (S.boolean_code("if(c_acctbal < 0, '1', 'false')", True)).cast("long").alias("two_bits"))
+
+
+@query("with d as (select c_custkey, cast(cast(c_acctbal as decimal(12,2)) as varchar) as t from customer) select c_custkey, cast(length(t) * 5 as bigint) as bits, cast(length(t) * 5 + 10 * 8 as bigint) as with_escapes, cast(2 as bigint) as n_items from d")
+def restricted_characters(spark, sf_dir):
+    """Bits of a decimal's text in its characters, and of one with ten others; items of a list."""
+    d = _t(spark, sf_dir, "customer").withColumn("t", F.expr("cast(cast(c_acctbal as decimal(12,2)) as string)"))
+    plain = S.restricted_bits("t", S.CHARSETS["decimal"])
+    return d.select("c_custkey", plain.alias("bits"), (S.restricted_bits("concat(t, 'abcdefghij')", S.CHARSETS["decimal"]) - 10 * 5).alias("with_escapes"), F.size(S.list_items("concat(' ', t, '  ', t)")).cast("long").alias("n_items"))
+
+
+@query(
+    """with d as (select c_custkey, cast(round(c_acctbal * 100) as bigint) as m from customer),
+z as (select *, case when m = 0 then 0 else length(cast(m as varchar)) - length(rtrim(cast(m as varchar), '0')) end as k from d)
+select c_custkey, case when m = 0 then '0E0' else rtrim(cast(m as varchar), '0') || 'E' || (k - 2) end as text from z"""
+)
+def float_texts(spark, sf_dir):
+    d = _t(spark, sf_dir, "customer")
+    return d.select("c_custkey", S.normal_float("concat('', cast(cast(c_acctbal as decimal(12,2)) as string), 'e0')").alias("text"))
+
+
+@query("select layout, 'OK' as result, (select count(*) from conversations) as n from (values ('bit-packed'), ('byte-alignment'), ('pre-compression'), ('compression')) t(layout)")
+def cross_check(spark, sf_dir):
+    """Every document in every layout, tallied."""
+    return inspect.tally(inspect.cross_check(_conversations(spark, sf_dir), "xml"))
+
+
+@query("""select * from (values (0, '0', 'AT {}flag', 1), (0, '1', 'AT {}large', 2), (0, '2', 'AT {}no', 3), (1, '0', 'AT {}large', 2), (1, '1', 'AT {}no', 3), (2, '0', 'AT {}no', 3),
+  (3, '0', 'SE {}customer', 4), (4, '0', 'SE {}price', 5), (5, '0', 'SE {}ordered', 6), (6, '0', 'EE', null)) t(node, code, terminal, next)""")
+def grammar_table(spark, sf_dir):
+    """The strict grammar of an order: attributes in order of their names, then its elements."""
+    return inspect.grammar_table(spark, compile_schema("order.xsd", _XSD), Options(strict=True)).drop("element")
+
+
+def _gapless(spark, sf_dir) -> DataFrame:
+    data = binary.transcode(_conversations(spark, sf_dir), "xml", lambda t: encode(xml.parse(t, Preserve())), "data", "binary")
+    return inspect.trace_table(data)
+
+
+@query("select conv_id * 1000 + turn as doc_id, cast(case when length(trim(text)) > 0 then 8 else 7 end as bigint) as n_events, true as gapless from conversations")
+def stream_trace(spark, sf_dir):
+    """Where each event lies in its stream: one begins where the one before ends."""
+    t = _gapless(spark, sf_dir).withColumn("next", F.lead("bit").over(Window.partitionBy("doc_id").orderBy("seq")))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_events"), F.bool_and(F.coalesce(F.col("next") == F.col("bit") + F.col("bits"), F.lit(True))).alias("gapless"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

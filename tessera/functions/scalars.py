@@ -25,16 +25,53 @@ def sign_magnitude(v: str) -> Column:
 
 
 def decimal_parts(text: str) -> Column:
-    """(negative, integral, fraction_reversed) of a decimal's text."""
+    """(negative, integral, fraction_reversed) of a decimal's text; the numbers are digits, of any length."""
     body = f"regexp_replace(trim({text}), '^[+-]', '')"
-    frac = f"regexp_replace(regexp_extract({body}, '\\\\.([0-9]*)$', 1), '0+$', '')"
+    whole = f"regexp_replace(regexp_extract({body}, '^([0-9]*)', 1), '^0+', '')"
+    part = f"regexp_replace(reverse(regexp_extract({body}, '\\.([0-9]*)$', 1)), '^0+', '')"
     return F.expr(
         f"""named_struct('negative', trim({text}) like '-%',
-          'integral', cast(coalesce(nullif(regexp_extract({body}, '^([0-9]*)', 1), ''), '0') as bigint),
-          'fraction_reversed', cast(coalesce(nullif(reverse({frac}), ''), '0') as bigint))"""
+          'integral', coalesce(nullif({whole}, ''), '0'), 'fraction_reversed', coalesce(nullif({part}, ''), '0'))"""
     )
 
 
+def bounded_integer(v: str, low: int, high: int) -> Column:
+    """(offset, bits) of an integer in a range of up to 4096 values; null outside of it."""
+    if not 0 <= high - low < 4096:
+        raise ValueError("the range has more than 4096 values")
+    return F.expr(f"if({v} between {low} and {high}, named_struct('offset', cast({v} as bigint) - {low}L, 'bits', {(high - low).bit_length()}), null)")
+
+
+def boolean_code(text: str, pattern: bool = False) -> Column:
+    """One bit for a boolean's text; with ``pattern``, two that tell its four forms apart. Null for other texts."""
+    code = f"array_position(array('false', '0', 'true', '1'), trim(both ' \t\n\r' from {text})) - 1"
+    return F.expr(f"nullif({code}, -1)" if pattern else f"nullif({code}, -1) div 2")
+
+
+def list_items(text: str) -> Column:
+    """The items of a list's text."""
+    return F.expr(f"filter(split({text}, '[ \\t\\n\\r]+'), x -> x <> '')")
+
+
+def restricted_bits(text: str, charset: str) -> Column:
+    """Bits of a text's characters under a restricted set: an escaped one adds its code point in groups of seven bits."""
+    quoted = charset.replace("\\", "\\\\").replace("'", "\\'")
+    width = len(charset).bit_length()
+    one = f"if(c = '', 0L, {width}L + if(locate(c, '{quoted}') > 0, 0L, 8L * ((length(bin(cast(ascii(c) as bigint))) + 6) div 7)))"
+    return F.expr(f"aggregate(transform(split({text}, ''), c -> {one}), 0L, (a, n) -> a + n)")
+
+
+def normal_float(text: str) -> Column:
+    """Mantissa, E and exponent of a float's text without trailing zeros, digits as they are; other texts stay."""
+    t = f"trim(both ' \t\n\r' from {text})"
+    form = "^([+-]?)([0-9]*)(?:[.]([0-9]*))?(?:[Ee]([+-]?[0-9]+))?$"
+    g = [f"regexp_extract({t}, '{form}', {i})" for i in range(5)]
+    digits = f"regexp_replace(concat({g[2]}, {g[3]}), '^0+', '')"
+    cut = f"regexp_replace({digits}, '0+$', '')"
+    exponent = f"coalesce(try_cast({g[4]} as int), 0) - length({g[3]}) + length({digits}) - length({cut})"
+    return F.expr(f"case when {t} in ('INF', '-INF', 'NaN') then {t} when not ({t} rlike '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([Ee][+-]?[0-9]+)?$') then {text} when {cut} = '' then '0E0' else concat(if({g[1]} = '-', '-', ''), {cut}, 'E', {exponent}) end")
+
+
 def float_parts(v: str) -> Column:
     """(mantissa, exponent) of a double with up to 15 significant digits; exponent -16384 marks INF, -INF and NaN."""
     text = f"format_string('%.14e', abs({v}))"
@@ -153,6 +190,45 @@ LEXICAL = {
 }
 
 
+#: Parts of the date and time types, in the order of their groups.
+PARTS = {
+    "dateTime": ["year", "month", "day", "hour", "minute", "second", "fraction"], "date": ["year", "month", "day"], "time": ["hour", "minute", "second", "fraction"],
+    "gYear": ["year"], "gYearMonth": ["year", "month"], "gMonth": ["month"], "gMonthDay": ["month", "day"], "gDay": ["day"],
+}
+_ZONED = r"(Z|[+-](?:0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?$"
+
+
+def datetime_parts(text: str, kind: str) -> Column:
+    """(year, month, day, hour, minute, second, fraction, zone) of a text of a date or time type; null if it is none.
+
+    ``fraction`` has the digits without trailing zeros, ``zone`` minutes; parts
+    that the type or the text lacks are null.
+    """
+    col, pattern = F.trim(F.expr(text)), LEXICAL[kind] + _ZONED
+    group = {p: F.regexp_extract(col, pattern, i + 1) for i, p in enumerate(PARTS[kind])}
+    zone = F.regexp_extract(col, pattern, len(PARTS[kind]) + 1)
+    offset = F.when(zone == "Z", 0).when(zone != "", F.when(zone.startswith("-"), -1).otherwise(1) * (zone.substr(2, 2).try_cast("int") * 60 + zone.substr(5, 2).try_cast("int")))
+    none = F.lit(None)
+    fields = [(group[p].try_cast("long") if p in group else none.cast("long")).alias(p) for p in ("year", "month", "day", "hour", "minute", "second")]
+    digits = F.regexp_replace(group["fraction"], "^[.]|0+$", "") if "fraction" in group else none.cast("string")
+    return F.when(is_datetime(text, kind), F.struct(*fields, F.when(digits != "", digits).alias("fraction"), offset.cast("long").alias("zone")))
+
+
+def format_datetime(parts: str, kind: str) -> Column:
+    """The text of a struct of parts: Z for no offset, four digits or more for a year."""
+    own = PARTS[kind]
+    date = {"year": f"concat(if({parts}.year < 0, '-', ''), lpad(cast(abs({parts}.year) as string), greatest(4, length(cast(abs({parts}.year) as string))), '0'))"}
+    two = lambda p: f"lpad(cast({parts}.{p} as string), 2, '0')"
+    days = [date["year"] if p == "year" else two(p) for p in own if p in ("year", "month", "day")]
+    head = "" if "year" in own else "---" if own == ["day"] else "--"
+    text = [f"'{head}'"] + [x for i, d in enumerate(days) for x in (["'-'"] if i else []) + [d]] if days else []
+    if "hour" in own:
+        text += (["'T'"] if days else []) + [two("hour"), "':'", two("minute"), "':'", two("second"), f"coalesce(concat('.', {parts}.fraction), '')"]
+    z = f"{parts}.zone"
+    text.append(f"case when {z} is null then '' when {z} = 0 then 'Z' else concat(if({z} < 0, '-', '+'), lpad(cast(abs({z}) div 60 as string), 2, '0'), ':', lpad(cast(abs({z}) % 60 as string), 2, '0')) end")
+    return F.expr(f"concat({', '.join(text)})")
+
+
 def is_datetime(text: str, kind: str) -> Column:
     """Whether a text has the lexical form and every part is in range."""
     pattern = LEXICAL[kind] + r"(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?$"
@@ -163,6 +239,9 @@ def is_datetime(text: str, kind: str) -> Column:
     for name, group in parts.items():
         n = F.regexp_extract(col, pattern, group).try_cast("int")
         ok = ok & n.between(*limits[name])
+    if "hour" in parts:  # the end of a day is its only time past 23:59
+        late = F.regexp_extract(col, pattern, parts["hour"]) == "24"
+        ok = ok & (~late | col.rlike(r"24:00:00(\.0+)?(Z|[+-][0-9:]{5})?$"))
     return F.coalesce(ok, F.lit(False))
 
 

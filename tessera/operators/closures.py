@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def closest_ancestor(types: DataFrame, mapping: DataFrame, most_depth: int = 128) -> DataFrame:
@@ -46,3 +47,19 @@ def builtin_base(types: DataFrame) -> DataFrame:
            select type, min_by(at, distance) as builtin from up where at like 'xs:%' group by type""",
         types=types,
     )
+
+
+def union_types(types: DataFrame) -> DataFrame:
+    """(type, is_union): whether the type or any of its bases is a union, from (type, base, variety)."""
+    return types.sparkSession.sql(
+        """with recursive t as (select * from {types}),
+        up(type, at, depth) as (select type, type, 0 from t union all select up.type, t.base, depth + 1 from up join t on t.type = up.at where t.base is not null and depth < 128)
+        select up.type, bool_or(t.variety = 'union') as is_union from up join t on t.type = up.at group by up.type""",
+        types=types,
+    )
+
+
+def with_subtypes(types: DataFrame) -> DataFrame:
+    """(type, has_subtypes): whether any named type is derived from it, from (type, base, named)."""
+    derived = types.where("named").select(F.col("base").alias("type")).distinct().withColumn("_d", F.lit(True))
+    return types.select("type").join(derived, "type", "left").select("type", F.coalesce("_d", F.lit(False)).alias("has_subtypes"))

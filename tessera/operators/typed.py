@@ -20,7 +20,7 @@ RANGES = {
     "nonNegativeInteger": (0, None), "positiveInteger": (1, None), "nonPositiveInteger": (None, 0), "negativeInteger": (None, -1), "integer": (None, None),
 }
 _Y, _M, _D = "-?[0-9]{4,}", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
-_TIME = r"([01][0-9]|2[0-4]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?"
+_TIME = r"(([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\.[0-9]+)?|24:00:00(\.0+)?)"
 _ZONE = "(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?"
 #: Forms of the date and time types, every part in its range.
 DATES = {
@@ -94,7 +94,8 @@ def type_values(events: DataFrame, schema: Schema) -> DataFrame:
                     held.append(row[:6])
                     continue
                 if kind == "NS":
-                    scopes[-1][prefix or ""] = uri
+                    if scopes:  # outside of elements it binds nothing
+                        scopes[-1][prefix or ""] = uri
                     continue
                 if held:
                     settle(out)

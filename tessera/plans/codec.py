@@ -13,6 +13,7 @@ from collections.abc import Container, Iterable, Iterator
 from typing import NamedTuple
 
 from tessera.plans.bits import Reader, Writer, width
+from tessera.plans.guard import StallGuard, log
 from tessera.plans.options import Options, read_header, write_header
 from tessera.plans.schema import Schema
 
@@ -359,6 +360,8 @@ def _coder(o: Options, schema: Schema | None, side: str):
 
 
 class _Decoder(_Machine):
+    lenient = False
+
     def __init__(self, o: Options, r: Reader):
         self.r = r
         super().__init__(o)
@@ -474,7 +477,12 @@ class _Decoder(_Machine):
         places: dict[tuple, list[tuple]] = {}
         n = 0
         while n < self.o.block_size:
-            e, later = self.event()
+            try:
+                e, later = self.event()
+            except EOFError:
+                if not (self.lenient and events and events[-1].kind == "EE" and not self.stack):
+                    raise
+                e, later = Event("ED"), None
             events.append(e)
             if later:
                 places.setdefault(self.channel(later), []).append((len(events) - 1, later))
@@ -493,19 +501,31 @@ class _Decoder(_Machine):
         yield from events
 
 
-def decode(data: bytes, outside: Options | None = None, schema: Schema | None = None) -> Iterator[Event]:
-    """Events of a stream, from SD to ED. Raises ValueError or EOFError for streams that are not whole."""
-    o, r, _ = read_header(data, outside)
+def decode(data: bytes, outside: Options | None = None, schema: Schema | None = None, lenient: bool = False) -> Iterator[Event]:
+    """Events of a stream, from SD to ED.
+
+    Raises ValueError or EOFError for streams that are not whole, and for those
+    that go on without reading a bit. With ``lenient``, a stream that stops
+    behind its last element gets its end.
+    """
+    o, r, header = read_header(data, outside)
+    log.debug("header %s, options %s", header, o)
     coder = _coder(o.check(), schema, "_Decoder")(o, r)
+    coder.lenient = lenient
     yield Event("SD")
+    stall, closed = StallGuard(), False
     ended = False
     held: Event | None = None  # a start whose prefix a following namespace may give
     while not ended:
-        if coder.o.layout == "pre-compression":
-            events = coder.block()
-        else:
-            events = iter((coder.event()[0],))
+        stall.step(coder.r.at, len(coder.data), len(coder.stack), coder.state)
+        try:
+            events = list(coder.block()) if coder.o.layout == "pre-compression" else [coder.event()[0]]
+        except EOFError:
+            if not (lenient and closed and not coder.stack):
+                raise
+            events = [Event("ED")]
         for e in events:
+            closed = e.kind == "EE"
             if held is not None:
                 if e.kind == "NS" and e.local_ns and e.uri == held.uri:
                     held = held._replace(prefix=e.prefix)

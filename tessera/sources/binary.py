@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from tessera.model import EVENTS
-from tessera.plans.codec import decode, encode
-from tessera.plans.options import Options, Preserve, read_header
+from tessera.model import EVENT_COLUMNS, EVENTS
+from tessera.plans.bits import Reader, Writer
+from tessera.plans.codec import Event, decode, encode
+from tessera.plans.options import Options, Preserve, read_header, read_options, write_header, write_options
+from tessera.plans.schema import Schema
 from tessera.sources.xml import event_rows, fold_documents
 
 
-def encode_events(events: DataFrame, options: Options | None = None, cookie: bool = False) -> DataFrame:
-    """(doc_id, data): each document's stream."""
-    return fold_documents(events, lambda es: encode(es, options, cookie), "data", "binary")
+def encode_events(events: DataFrame, options: Options | None = None, cookie: bool = False, schema: Schema | None = None, self_contained: list[tuple] | None = None) -> DataFrame:
+    """(doc_id, data): each document's stream. A schema is sent to the tasks as compiled, its grammars are made there."""
+    return fold_documents(events, lambda es: encode(es, options, cookie, None, schema, self_contained), "data", "binary")
 
 
-def decode_streams(streams: DataFrame, column: str = "data", options: Options | None = None, id_col: str = "doc_id", failed: str = "raise") -> DataFrame:
+def decode_streams(streams: DataFrame, column: str = "data", options: Options | None = None, id_col: str = "doc_id", failed: str = "raise", schema: Schema | None = None) -> DataFrame:
     """The events of a column of streams."""
-    return event_rows(streams, column, lambda b: list(decode(bytes(b), options)), id_col, failed)
+    return event_rows(streams, column, lambda b: list(decode(bytes(b), options, schema)), id_col, failed)
 
 
 def transcode(docs: DataFrame, column: str, make, out: str, type_: str, id_col: str = "doc_id") -> DataFrame:
@@ -43,6 +47,32 @@ def header_struct(data: bytes) -> dict:
     return h | {"alignment": o.alignment, "compression": o.compression, "strict": o.strict, "fragment": o.fragment, "block_size": o.block_size, "value_max_length": o.value_max_length, "value_capacity": o.value_capacity}
 
 
+def is_compressed(data: bytes, options: Options | None = None) -> bool:
+    """What the header, or else ``options``, says about compression; only the header is read."""
+    return read_header(data, options)[0].compression
+
+
+def with_header(body: bytes, options: Options, cookie: bool = False) -> bytes:
+    """A body that has no header of its own, such as blocks that were kept apart, behind one that holds its options.
+
+    Only for layouts whose body begins at a byte.
+    """
+    if options.layout == "bit-packed":
+        raise ValueError("the body of a bit-packed stream does not begin at a byte")
+    return write_header(options.check(), cookie, True).done() + body
+
+
+def options_bytes(options: Options) -> bytes:
+    """The options document alone."""
+    w = Writer()
+    write_options(w, options.check())
+    return w.done()
+
+
+def options_of(data: bytes) -> Options:
+    return read_options(Reader(data)).check()
+
+
 def has_cookie(column: str):
     """Whether a stream starts with the cookie; native."""
     return F.expr(f"substring({column}, 1, 4) = X'24455849'")
@@ -67,7 +97,7 @@ class ExiReader(DataSourceReader):
         system, base = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         info = system.get_file_info(base)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(base))
-        return [_Part(f.path, i) for i, f in enumerate(sorted((f for f in found if f.is_file), key=lambda f: f.path))]
+        return [_Part(f.path, i) for i, f in enumerate(sorted((f for f in found if f.is_file and not f.base_name.startswith("_")), key=lambda f: f.path))]
 
     def read(self, partition):
         from pyarrow import fs
@@ -79,8 +109,76 @@ class ExiReader(DataSourceReader):
             yield (partition.number, n, *e)
 
 
+class ExiWriter(DataSourceArrowWriter):
+    """A file for each document of a partition, whose rows are sorted by (doc_id, seq).
+
+    Files have names of their own for each attempt until the task has
+    finished; the driver gives those of finished tasks their names,
+    ``<doc_id>.exi``, and deletes the others' on failure.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.options = ExiReader(options).outside
+        self.path, self.overwrite = options["path"], overwrite
+
+    def _system(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
+    def write(self, batches):
+        system, base = self._system()
+        system.create_dir(base, recursive=True)
+        made, now, held = [], None, []
+
+        def done():
+            name = f"{base}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(name, compression=None) as f:
+                f.write(encode(held, self.options, True))
+            made.append((name, f"{base}/{now}.exi"))
+
+        for batch in batches:
+            for key, _, *rest in zip(*(batch.column(c).to_pylist() for c in EVENT_COLUMNS), strict=True):
+                if key != now and held:
+                    done()
+                    held = []
+                now = key
+                held.append(Event(*rest))
+        if held:
+            done()
+        return _Made(made)
+
+    def commit(self, messages):
+        system, base = self._system()
+        from pyarrow import fs
+
+        names = [pair for m in messages if m for pair in m.files]
+        if len({final for _, final in names}) < len(names):
+            self.abort(messages)
+            raise ValueError("a document's rows are in several partitions; repartition by doc_id first")
+        if self.overwrite:
+            system.create_dir(base, recursive=True)
+            for f in system.get_file_info(fs.FileSelector(base)):
+                if f.path.endswith(".exi"):
+                    system.delete_file(f.path)
+        for held, final in names:
+            system.move(held, final)
+
+    def abort(self, messages):
+        system, _ = self._system()
+        for m in messages:
+            for held, _ in m.files if m else ():
+                system.delete_file(held)
+
+
+@dataclass
+class _Made(WriterCommitMessage):
+    files: list
+
+
 class ExiSource(DataSource):
-    """``spark.dataSource.register(ExiSource)``, then ``spark.read.format("exi").load(path)``."""
+    """``spark.dataSource.register(ExiSource)``, then ``spark.read.format("exi").load(path)``, or
+    ``events.repartition("doc_id").sortWithinPartitions("doc_id", "seq").write.format("exi").mode("append").save(path)``."""
 
     @classmethod
     def name(cls):
@@ -91,3 +189,6 @@ class ExiSource(DataSource):
 
     def reader(self, schema):
         return ExiReader(self.options)
+
+    def writer(self, schema, overwrite):
+        return ExiWriter(self.options, overwrite)

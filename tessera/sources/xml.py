@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.model import EVENT_FIELDS, EVENTS
@@ -16,13 +17,36 @@ from tessera.plans.options import Preserve
 _KEEP_ALL = Preserve(True, True, True, True, True, False)
 
 
-def parse(text: str, preserve: Preserve = _KEEP_ALL) -> list[Event]:
+def parse(text: str | bytes, preserve: Preserve = _KEEP_ALL, external: Callable[[str], bytes] | None = None) -> list[Event]:
     """Events of one document.
 
     Adjacent text is one CH; attributes are sorted by (local, uri); text of
     blanks only is kept if it is all that an element holds. External entities
-    are never read. Raises ValueError for text that is not well-formed.
+    are read only through ``external``, which gets a system identifier. Raises
+    ValueError for text that is not well-formed.
     """
+    return list(iterparse([text], preserve, external))
+
+
+def below(folder: str) -> Callable[[str], bytes]:
+    """For ``external``: reads files below a folder, and raises ValueError for all others."""
+    root = os.path.realpath(folder)
+
+    def read(system_id: str) -> bytes:
+        path = os.path.realpath(os.path.join(root, system_id.removeprefix("file://")))
+        if os.path.commonpath((root, path)) != root:
+            raise ValueError(f"entity {system_id} is not below {folder}")
+        try:
+            with open(path, "rb") as f:
+                return f.read()
+        except OSError as e:
+            raise ValueError(f"entity {system_id} cannot be read") from e
+
+    return read
+
+
+def iterparse(chunks: Iterable[str | bytes], preserve: Preserve = _KEEP_ALL, external: Callable[[str], bytes] | None = None) -> Iterator[Event]:
+    """As ``parse``, of a document in pieces; events are given as soon as they are known."""
     out: list[Event] = [Event("SD")]
     scopes: list[dict[str, str]] = [{"": "", "xml": XML, "xmlns": "http://www.w3.org/2000/xmlns/"}]
     child = [False]
@@ -85,8 +109,20 @@ def parse(text: str, preserve: Preserve = _KEEP_ALL) -> list[Event]:
     doctype: list[tuple] = []
 
     def entity(name, is_parameter, value, base, system_id, public_id, notation):
-        if value is not None and not is_parameter:
-            subset.append(f'<!ENTITY {name} "{value}">')
+        ids = f'PUBLIC "{public_id}" "{system_id}"' if public_id else f'SYSTEM "{system_id}"'
+        what = f'"{value}"' if value is not None else ids + (f" NDATA {notation}" if notation else "")
+        subset.append(f"<!ENTITY {'% ' * bool(is_parameter)}{name} {what}>")
+
+    def notation_(name, base, system_id, public_id):
+        ids = f'PUBLIC "{public_id}"' + (f' "{system_id}"' if system_id else "") if public_id else f'SYSTEM "{system_id}"'
+        subset.append(f"<!NOTATION {name} {ids}>")
+
+    def element_(name, model):
+        subset.append(f"<!ELEMENT {name} {_model(model)}>")
+
+    def attlist(element, name, type_, default, required):
+        rest = f'{"#FIXED " * bool(required)}"{escape_attribute(default)}"' if default is not None else "#REQUIRED" if required else "#IMPLIED"
+        subset.append(f"<!ATTLIST {element} {name} {type_} {rest}>")
 
     def doctype_end():
         if preserve.dtd:
@@ -103,13 +139,38 @@ def parse(text: str, preserve: Preserve = _KEEP_ALL) -> list[Event]:
     p.ProcessingInstructionHandler = lambda n, t: other(Event("PI", local=n, value=t), preserve.pis)
     p.StartDoctypeDeclHandler = lambda name, system_id, public_id, _: doctype.append((name, system_id, public_id))
     p.EndDoctypeDeclHandler = doctype_end
-    p.EntityDeclHandler = entity
+    p.EntityDeclHandler, p.NotationDeclHandler, p.ElementDeclHandler, p.AttlistDeclHandler = entity, notation_, element_, attlist
+    if external is not None:
+
+        def entity_ref(context, base, system_id, public_id):
+            p.ExternalEntityParserCreate(context).Parse(external(system_id), True)
+            return 1
+
+        p.ExternalEntityRefHandler = entity_ref
     p.SkippedEntityHandler = lambda name, is_parameter: other(Event("ER", local=name), preserve.dtd and not is_parameter)
     try:
-        p.Parse(text.encode("utf-8"), True)
+        for chunk in chunks:
+            p.Parse(chunk.encode("utf-8") if isinstance(chunk, str) else chunk, False)
+            yield from out
+            out.clear()
+        p.Parse(b"", True)
     except expat.ExpatError as e:
         raise ValueError(str(e)) from None
-    return [*out, Event("ED")]
+    yield from out
+    yield Event("ED")
+
+
+def _model(model: tuple) -> str:
+    """The text of an element's content model as expat gives it."""
+    kind, quantifier, name, children = model
+    often = {0: "", 1: "?", 2: "*", 3: "+"}[quantifier]
+    if kind in (1, 2):
+        return "EMPTY" if kind == 1 else "ANY"
+    if kind == 4:
+        return name + often
+    if kind == 3:
+        return "(#PCDATA" + "".join(f"|{c[2]}" for c in children) + ")" + ("*" if children else "")
+    return "(" + {5: "|", 6: ","}[kind].join(_model(c) for c in children) + ")" + often
 
 
 def escape_text(text: str) -> str:
@@ -249,6 +310,17 @@ def read_xml(docs: DataFrame, column: str, preserve: Preserve = _KEEP_ALL, id_co
     return event_rows(docs, column, lambda t: parse(t, preserve), id_col, failed)
 
 
+def read_files(spark: SparkSession, path: str, preserve: Preserve = _KEEP_ALL, external_root: str | None = None, failed: str = "raise") -> DataFrame:
+    """The events of the XML files below ``path``; doc_id is the hash of a file's path.
+
+    External entities are read only below ``external_root``, a folder that all
+    executors share.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "content")
+    external = below(external_root) if external_root else None
+    return event_rows(files, "content", lambda b: parse(bytes(b), preserve, external), "doc_id", failed)
+
+
 def fold_documents(events: DataFrame, make: Callable[[list[Event]], object], out: str, type_: str) -> DataFrame:
     """(doc_id, out): ``make`` of each document's events in order.
 
