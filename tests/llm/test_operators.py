@@ -166,65 +166,119 @@ def test_language_model(docs, empty):
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
         assert g.base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
         assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) and g.score < 0
-    assert lm.score(empty, train).count() == 0
-    first = next(r.text for r in rows if r.doc_id == 0)
+    assert lm.score(empty, train).collect() == []
     untrained = lm.score(docs, F.lit(False)).where("doc_id = 0").first()
-    assert (untrained.train_tokens, untrained.n_known) == (0, 0)
-    assert untrained.score == pytest.approx(-math.log10(256) * (len(" ".join(words(first)).encode()) + 1))
-
-
-def test_tree_is_a_distribution(docs):
-    tree, *_ = lm.grow(docs.select("text").mapInArrow(lm._gather, "kind tinyint, key long, n long").where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), Scratch(docs.sparkSession, "t"))
-    assert len(tree.states) > 10
-    for history in (b"the o", b"\n\n\n\n\n", b"zzzzz", b"0 and"):
-        h = int.from_bytes(history, "big")
-        p = 10 ** tree.log10(np.array([(h << 8) | s for s in range(256)], np.uint64))[0]
-        assert p.sum() == pytest.approx(1)
+    assert (untrained.train_tokens, untrained.n_known, untrained.score) == (0, 0, 0)
+
+
+def test_rungs():
+    assert [lm.rung(j) for j in range(12)] == [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64]
+
+
+class BruteTree:
+    """The suffix tree over words as the module's text defines it, by dictionaries and without pruning."""
+
+    def __init__(self, texts):
+        self.depths = [0] + [lm.rung(j) for j in range(20)]
+        self.next, self.words = {}, Counter()
+        for seq in texts:
+            self.words.update(seq[1:])
+            for i in range(1, len(seq)):
+                for d in self.depths:
+                    if d <= i:
+                        self.next.setdefault(seq[i - d : i], Counter())[seq[i]] += 1
+        self.n, self.v = sum(self.words.values()), len(self.words)
+        self.states = {()}
+        for s in self.next:
+            if s and self.gain(s) >= lm.MIN_GAIN:
+                while s:
+                    self.states.add(s)
+                    s = self.suffix(s)
+
+    def suffix(self, s):
+        return s[len(s) - max(d for d in self.depths if d < len(s)) :]
+
+    def parts(self, s):
+        rep = {y: m for y, m in self.next[s].items() if m > 1}
+        return rep, sum(rep.values()), len(self.next[s])
+
+    def p(self, s, y):
+        if not s:
+            return (self.words[y] or self.v) / (self.n + self.v)
+        rep, n, t = self.parts(s)
+        return (rep.get(y, 0) + t * self.p(self.suffix(s), y)) / (n + t)
+
+    def gain(self, s):
+        rep, n, t = self.parts(s)
+        if not rep:
+            return -1
+        up = self.suffix(s)
+        out = (sum(self.next[s].values()) - n) * math.log(t / (n + t))
+        for y, m in rep.items():
+            q = self.p(up, y)
+            out += m * math.log((m - 1 + t * q) / ((n + t - 1) * q))
+        return out
+
+    def score(self, seq):
+        out = 0
+        for i in range(1, len(seq)):
+            d = 0
+            for e in self.depths:
+                if e <= i and seq[i - e : i] in self.states:
+                    d = e
+            out += math.log10(self.p(seq[i - d : i], seq[i]))
+        return out
+
+
+def sequences(rows):
+    return {r.doc_id: ("<start>", *words((r.text or "").translate(LOWER)), "\n") for r in rows}
+
+
+def repeated_docs(spark):
+    """Documents with copies and near copies, long repeated passages and one very frequent word."""
+    rng = random.Random(21)
+    word = lambda: rng.choice(WORDS) + str(min(rng.randint(0, 60), rng.randint(0, 60)))
+    passage = [word() for _ in range(70)]
+    rows = []
+    for i in range(160):
+        w = [word() if rng.random() < 0.8 else "the" for _ in range(rng.randint(1, 60))]
+        if i % 4 == 0:
+            at = rng.randint(0, len(w))
+            w[at:at] = passage
+        if i % 4 == 1:
+            w = [x if rng.random() < 0.97 else word() for x in passage]
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[i % 3][1]) for i in range(6)] + [(300, None), (301, ""), (302, "the " * 500)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_score_is_that_of_a_brute_force_tree(spark):
+    docs = repeated_docs(spark)
+    found = sequences(docs.collect())
+    tree = BruteTree([s for i, s in found.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    assert max(map(len, tree.states)) >= 24 and len(tree.states) > 100
+    for s in sorted(tree.states, key=lambda s: (len(s), s))[:: len(tree.states) // 25]:
+        assert sum(tree.p(s, y) for y in [*tree.words, "not a word"]) == pytest.approx(1)
+    got = {r.doc_id: r.score for r in lm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()}
+    for i, seq in found.items():
+        assert got[i] == pytest.approx(tree.score(seq)), i
 
 
-def test_scores_do_not_depend_on_what_is_sent(docs, monkeypatch):
+def test_scores_do_not_depend_on_what_is_sent(spark, monkeypatch):
+    docs = repeated_docs(spark)
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
 
     def rows():
         return {tuple(r)[:5] + (round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, train).collect()}
 
     want = rows()
-    for edges, words_ in ((0, 0), (500, 5)):
+    for edges, words_, bits in ((0, 0, 1 << 20), (300, 5, 1 << 11)):
         monkeypatch.setattr(lm, "HOT_EDGES", edges)
         monkeypatch.setattr(lm, "HOT_WORDS", words_)
+        monkeypatch.setattr(lm, "FILTER_BITS", bits)
         assert rows() == want
 
 
-def test_score_is_that_of_a_brute_force_tree(docs):
-    rows = docs.collect()
-    sequence = {r.doc_id: " ".join(words((r.text or "").translate(LOWER))).encode() + b"\n" for r in rows}
-    n = {}
-    for r in rows:
-        if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
-            full = b"\n" * lm.DEPTH + sequence[r.doc_id]
-            for i in range(lm.DEPTH, len(full)):
-                for d in range(lm.DEPTH + 1):
-                    n.setdefault(full[i - d : i], Counter())[full[i]] += 1
-    total = {s: sum(c.values()) for s, c in n.items()}
-    states = {b""}
-    for s, c in n.items():
-        if s and total[s] >= lm.MIN_SEEN:
-            gain = sum(m * math.log(m / total[s] / (n[s[1:]][y] / total[s[1:]])) for y, m in c.items())
-            if gain >= lm.MIN_GAIN * len(c):
-                states |= {s[i:] for i in range(len(s))}
-
-    def p(s, y):
-        return (n[s][y] + len(n[s]) * (p(s[1:], y) if s else 1 / 256)) / (total[s] + len(n[s]))
-
-    assert max(map(len, states)) == lm.DEPTH
-    got = {r.doc_id: r.score for r in lm.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()}
-    for i, text in sequence.items():
-        full = b"\n" * lm.DEPTH + text
-        at = range(lm.DEPTH, len(full))
-        longest = [next(full[k - d : k] for d in range(lm.DEPTH, -1, -1) if full[k - d : k] in states) for k in at]
-        assert got[i] == pytest.approx(sum(math.log10(p(s, full[k])) for s, k in zip(longest, at, strict=True)))
-
-
 def test_recall_at_the_threshold(spark):
     """Pairs whose cosine is barely above 0.95, which p-stable hashing finds least often."""
     rng = np.random.default_rng(3)
