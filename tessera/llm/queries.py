@@ -61,7 +61,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archive(_table(spark, sf_dir, "pages"), min_bytes=0).read()
+    pages = _table(spark, sf_dir, "pages")
+    found = warc.archive(pages, min_bytes=0).find(pages.select("url"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -632,7 +632,7 @@ def test_chat_schemas_and_fields(spark):
         chat.link(spark.createDataFrame(rows, fields), {"f": {"properties": {"n": {"multipleOf": 2}}}})
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     rows = [(i, f"http://User@B{i % 3}.Example.org:80/p/{i % 10}?q#f", f"<p>é{i % 4}</p>") for i in range(40)]
     rows += [(40, None, None), (41, "x", ""), (42, "http://a/ b", "big" * 100000), (None, "http://n/", "<p>é1</p>"), (7, "http://seven/", "<p>é3</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("size", F.lit(1)).repartition(3)
@@ -650,9 +650,33 @@ def test_warc(spark):
         assert (r.record_type, r.refers_to) == ("response" if want is None else "revisit", want)
         assert bytes(r.payload) == (html.encode() if want is None else b"")
     hits = found.lookup("https://b1.example.org:80/p/4?q")
-    assert [r["page_id"] for r in hits] == [4, 34] and found.lookup("http://none/") == []
+    assert [r["page_id"] for r in hits] == [4, 34] and list(found.lookup("http://none/")) == []
+    every = lambda df: sorted((r.page_id or -1, r.url, r.payload_digest, r.record_type, r.refers_to or -1) for r in df.collect())
+    assert every(found.find(pages.select("url"))) == every(found.read())
+    assert [r.page_id for r in found.find(spark.createDataFrame([("http://b0.example.org:80/p/0?q",), ("http://b0.example.org:80/p/0?q",), ("zzz",)], "url string")).orderBy("page_id").collect()] == [0, 30]
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 2)
+    assert every(warc.archive(pages, block=7).read()) == every(found.read())
+    monkeypatch.setattr(warc, "MOST_BLOCKS", 3)
+    assert warc.archive(pages, block=7).directory.agg(F.min("n")).first()[0] is not None and every(warc.archive(pages, block=7).find(pages)) == every(found.read())
     assert all(r.record_type == "response" for r in warc.archive(pages, min_bytes=10**6).read().collect())
-    assert warc.archive(pages.limit(0)).read().count() == 0
+    assert warc.archive(pages.limit(0)).read().collect() == [] and warc.archive(pages.limit(0)).find(pages).collect() == []
+
+
+def test_warc_records():
+    data = warc.record(7, "http://a/", b"x", warc.digest(b"x"), 3, "http://b/")
+    text = warc.gzip.decompress(data).decode()
+    assert f"WARC-Refers-To: {warc.record_id(3, warc.digest(b'x'), 'http://b/')}" in text and "WARC-Refers-To-Target-URI: http://b/" in text and "WARC-Type: revisit" in text
+    assert warc.gzip.decompress(warc.info("f")).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+
+
+def test_captures_of_one_url_fill_many_blocks(spark):
+    rows = [(i, "http://hot/", f"{i % 50}") for i in range(300)] + [(1000 + i, f"http://h{i}/", "z") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = warc.archive(pages, block=10)
+    assert [r["page_id"] for r in found.lookup("http://hot/")] == list(range(300))
+    got = found.find(pages.select("url"))
+    assert sorted(r.page_id for r in got.collect()) == sorted(i for i, _, _ in rows)
+    assert got.where("url = 'http://hot/'").select(F.spark_partition_id()).distinct().count() > 1
 
 
 def test_pipeline(spark, tmp_path):
