@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame
 
 
 _ENTRY = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
-_DIRECTORY = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64())])
+_DIRECTORY = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("first_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64())])
 
 
 def write_index(entries: DataFrame, root: str, block: int = BLOCK) -> DataFrame:
@@ -187,23 +187,23 @@ def write_index(entries: DataFrame, root: str, block: int = BLOCK) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
         name, at, out = f"{uuid.uuid4().hex}.cdx.gz", 0, None
-        held: list[tuple[str, str]] = []
+        held: list[tuple[str, str, int | None]] = []
 
         def flush():
             nonlocal at, out
             if out is None:
                 fs.create_dir(f"{base}/index", recursive=True)
                 out = fs.open_output_stream(f"{base}/index/{name}", compression=None)
-            data = gzip.compress("".join(line for _, line in held).encode(), 5, mtime=0)
+            data = gzip.compress("".join(line for _, line, _ in held).encode(), 5, mtime=0)
             out.write(data)
-            row = [held[0][0], held[-1][0], name, at, len(data), len(held)]
+            row = [held[0][0], held[-1][0], -(1 << 63) if held[0][2] is None else held[0][2], name, at, len(data), len(held)]
             at += len(data)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _DIRECTORY.types, strict=True)], schema=_DIRECTORY)
 
         for batch in batches:
             for key, page_id, file, start, length in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                held.append((key, f"{key} {json.dumps([page_id, file, start, length])}\n"))
+                held.append((key, f"{key} {json.dumps([page_id, file, start, length])}\n", page_id))
                 if len(held) >= block:
                     yield flush()
         if held:
@@ -213,7 +213,7 @@ def write_index(entries: DataFrame, root: str, block: int = BLOCK) -> DataFrame:
 
     width = shuffle_width(entries.sparkSession)
     dealt = entries.repartitionByRange(width, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return dealt.mapInArrow(write, "first_key string, last_key string, file string, start long, length long, n long")
+    return dealt.mapInArrow(write, "first_key string, last_key string, first_id long, file string, start long, length long, n long")
 
 
 def _range(fs: pafs.FileSystem, path: str, start: int, length: int) -> bytes:
@@ -234,9 +234,9 @@ class Archive:
         self._sorted: list[tuple] | None = None
 
     def blocks(self) -> list[tuple]:
-        """The directory in order: (first key, last key, file, start, length). Its size has a bound."""
+        """The directory in order: (first key, last key, first page_id, file, start, length). Its size has a bound."""
         if self._sorted is None:
-            table = self.directory.select("first_key", "last_key", "file", "start", "length").toArrow()
+            table = self.directory.select("first_key", "last_key", "first_id", "file", "start", "length").toArrow()
             self._sorted = sorted(zip(*(c.to_pylist() for c in table.columns), strict=True))
         return self._sorted
 
@@ -246,7 +246,7 @@ class Archive:
         fs, base = _open(self.root)
         blocks = self.blocks()
         for b in _holding(blocks, [b[1] for b in blocks], key):
-            for file, start, length in _matches(_lines(fs, base, *blocks[b][2:]), key):
+            for file, start, length in _matches(_lines(fs, base, *blocks[b][3:]), key):
                 yield parse(_range(fs, f"{base}/archive/{file}", start, length))
 
     def find(self, urls: DataFrame, payloads: bool = False) -> DataFrame:
@@ -269,7 +269,7 @@ class Archive:
                 for b, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if b != now:
                         yield from _records(fs, base, wanted, payloads)
-                        now, lines, wanted = b, _lines(fs, base, *blocks[b][2:]), []
+                        now, lines, wanted = b, _lines(fs, base, *blocks[b][3:]), []
                     wanted += _matches(lines, key)
             yield from _records(fs, base, wanted, payloads)
 
