@@ -131,10 +131,15 @@ def _place(rows: DataFrame, at: str, frame: int, block: int) -> DataFrame:
     return rows.withColumn("mix_pos", F.floor(F.greatest(F.lit(0.0), F.col("_off") - F.col("k") * (F.col("lane_w") * frame * block / F.col("m")))).cast("long"))
 
 
-def _timed(docs: DataFrame, alpha: float, target: Mapping[str | None, float] | None, frame: int, block: int, id_col: str) -> DataFrame:
+def units() -> Column:
+    """What a text weighs: its characters and one."""
+    return (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long")
+
+
+def _timed(docs: DataFrame, alpha: float, target: Mapping[str | None, float] | None, frame: int, block: int, id_col: str, size: Column | None = None) -> DataFrame:
     """The rows as a struct ``_row``, beside the added columns."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), _key().alias("_g"), (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("_size"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), _key().alias("_g"), (units() if size is None else size).cast("long").alias("_size"))
     sizes = scratch.save(rows.groupBy("_g").agg(F.count("*").alias("n"), F.sum("_size").alias("all")).withColumnRenamed("_g", "g"), "sizes")
     sources, slots = plan(weights_of(sizes, alpha, target), scratch, frame)
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("all"), F.lit(0)).alias("all")).first()
@@ -151,9 +156,11 @@ def _timed(docs: DataFrame, alpha: float, target: Mapping[str | None, float] | N
     return out.select("_row", *[F.col(c) if c == "mix_in" else F.col(c).cast("long").alias(c) for c in ADDED])
 
 
-def interleave(docs: DataFrame, alpha: float = 0.7, target: Mapping[str | None, float] | None = None, frame: int = FRAME, block: int = BLOCK, id_col: str = "doc_id", added: tuple[str, ...] = ADDED) -> DataFrame:
+def interleave(docs: DataFrame, alpha: float = 0.7, target: Mapping[str | None, float] | None = None, frame: int = FRAME, block: int = BLOCK, id_col: str = "doc_id", added: tuple[str, ...] = ADDED, size: Column | None = None) -> DataFrame:
     """``docs`` with (mix_block, mix_slot, mix_pos, mix_in), or those of them that are ``added``.
 
+    ``size`` weighs the rows of a table without texts.
+
     Order the mix by (mix_slot, mix_pos): a slot holds one quantum of one
     source or of the pool, and mix_block counts the quanta of a source's lane.
     ``mix_in`` is true up to the slot in which the first source would run dry;
@@ -161,7 +168,7 @@ def interleave(docs: DataFrame, alpha: float = 0.7, target: Mapping[str | None,
     theirs among themselves. Every row of a source with a weight has a slot.
     """
     kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
-    return _timed(docs, alpha, target, frame, block, id_col).select(*kept, *added)
+    return _timed(docs, alpha, target, frame, block, id_col, size).select(*kept, *added)
 
 
 def mix(docs: DataFrame, alpha: float = 0.7, target: Mapping[str | None, float] | None = None, frame: int = FRAME, block: int = BLOCK, id_col: str = "doc_id") -> DataFrame:

@@ -29,7 +29,8 @@ def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.interleave(_table(spark, sf_dir, "documents"))
+    sized = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.units().alias("size"))
+    mixed = mixing.interleave(sized, size=F.col("size"))
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_pos", "mix_in")
 
 
