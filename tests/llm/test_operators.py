@@ -279,6 +279,21 @@ def test_scores_do_not_depend_on_what_is_sent(spark, monkeypatch):
         assert rows() == want
 
 
+def test_a_place_outside_asks_for_one_edge(spark, monkeypatch):
+    """In copies nearly every deepest edge is in the tree: no key but that one is looked up, if no filter errs."""
+    rng = random.Random(22)
+    seq = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(seq)) for i in range(8)], "doc_id long, text string").repartition(2)
+    saved, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    monkeypatch.setattr(lm, "HOT_EDGES", 0)
+    want = {round(r.score, 6) for r in lm.score(docs, F.lit(True)).collect()}
+    assert "again" not in saved and saved["scored"].agg(F.sum(F.size("near"))).first()[0] <= 1.2 * 8 * 401
+    saved.clear()
+    monkeypatch.setattr(lm, "FILTER_BITS", 1 << 6)
+    assert {round(r.score, 6) for r in lm.score(docs, F.lit(True)).collect()} == want and "again" in saved
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs whose cosine is barely above 0.95, which p-stable hashing finds least often."""
     rng = np.random.default_rng(3)
