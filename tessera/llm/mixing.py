@@ -139,6 +139,7 @@ def units() -> Column:
 def _timed(docs: DataFrame, alpha: float, target: Mapping[str | None, float] | None, frame: int, block: int, id_col: str, size: Column | None = None) -> DataFrame:
     """The rows as a struct ``_row``, beside the added columns."""
     scratch = Scratch(docs.sparkSession, "mixing")
+    scratch.release()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), _key().alias("_g"), (units() if size is None else size).cast("long").alias("_size"))
     sizes = scratch.save(rows.groupBy("_g").agg(F.count("*").alias("n"), F.sum("_size").alias("all")).withColumnRenamed("_g", "g"), "sizes")
     sources, slots = plan(weights_of(sizes, alpha, target), scratch, frame)

@@ -342,12 +342,17 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     edges = star.select("u", "v")
     if marked.where("rest").limit(1).count():
         edges = scratch.save(edges.unionByName(links(rest_pairs(marked, "rest", *limits))), "links")
+    for name in ("left-1", "sets", "keys", "members", "whole", "marked"):
+        scratch.drop(name)
+    scratch.release()
 
     comp = components(edges, scratch)
     named = scratch.save(comp.join(items.select(F.col("fp").alias("node"), "rep"), "node"), "named")
     low = named.groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("c"))
     found = join_counted(named, low, ["component"], "c", named.count()).select(F.col("node").alias("fp"), "low")
     labels = scratch.save(items.join(found, "fp", "left").select("fp", "copies", F.coalesce("low", "rep").alias("component_id")), "labels")
+    scratch.keep("base", "labels")
+    scratch.release()
     full = F.expr("n > 0 and doc_id is not null")
     own = join_counted(base.where(full).select("doc_id", "n", "fp"), labels, ["fp"], "copies", base.count()).select("doc_id", "n", "component_id")
     # documents without shingles have no item, and rows without a key none to name

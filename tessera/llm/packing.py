@@ -100,6 +100,7 @@ def pack(docs: DataFrame, budget: int = 65_536, buckets: int = 16, tokens: Colum
     n = _tokens() if tokens is None else tokens.cast("long")
     mix = [F.col(c).alias(f"_{c}") for c in ("mix_slot", "mix_pos")] if mixed else []
     rows = scratch.save(docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), *mix, n.alias("_n")), "counted")
+    scratch.release()
     found = rows.groupBy("_n").agg(F.count("*").alias("c")).orderBy("_n").toArrow()
     lengths, counts = (found.column(c).to_pylist() for c in ("_n", "c"))
     bounds, _ = boundaries(lengths, counts, buckets)

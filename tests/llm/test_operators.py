@@ -144,6 +144,17 @@ def test_joins_on_hot_keys(spark, monkeypatch):
     assert spread >= 7
 
 
+def test_join_leaves_two_tables(spark, docs):
+    """The result reads two tables; all others are deleted when it is returned."""
+    from pathlib import Path
+
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(top.glob("ngram-join-*"))
+    kept = ngram_join.deduplicate(docs, k=5, num=80, den=100)
+    assert {x.name for root in set(top.glob("ngram-join-*")) - before for x in root.iterdir()} == {"base", "labels"}
+    assert 0 < kept.count() < docs.count()
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     a = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
