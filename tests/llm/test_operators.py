@@ -5,14 +5,16 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embed_dedup, langid, lm, mixing, ngram_join, packing, quality, rules, warc
+from tessera.llm import _components, chat, embed_dedup, langid, lm, mixing, ngram_join, packing, quality, rules, warc
 from tessera.llm._runtime import Scratch
 
 WORDS = ["the", "of", "and", "rea", "ton", "inga", "sher", "lyon", "éta", "ñor", "vel", "quo"]
@@ -144,6 +146,46 @@ def test_joins_on_hot_keys(spark, monkeypatch):
     assert spread >= 7
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(40)]
+    hub = [(100, i) for i in range(101, 1400)]
+    far = [(5000 + i, 4990) for i in range(9)] + [(4990, 4980), (4980, 5003)]
+    saved = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+
+    def found(edges):
+        saved.clear()
+        rows = _components.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()
+        assert len(rows) == len({r.node for r in rows})
+        return {r.node: r.component for r in rows}
+
+    assert found([*chain, *hub, *far, (7, 7)]) == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 1400)} | {i: 4980 for i in [4980, 4990, *range(5000, 5009)]}
+    assert found([*hub, *[(b, a) for a, b in hub], (3, 3)]) == {i: 100 for i in range(100, 1400)}
+    assert saved == ["edges-0", "low-0"]
+    with pytest.raises(RuntimeError):
+        _components.components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark, "test"), most_rounds=1)
+
+
+def test_release_frees_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    scratch = Scratch(spark, "test")
+    scratch.release()
+
+    def shuffled():
+        return len([f for f in disk.getAllFiles().mkString(" ").split() if "shuffle_" in f])
+
+    before = shuffled()
+    rows = spark.range(50_000).withColumn("g", F.col("id") % 1000)
+    scratch.save(rows.withColumn("n", F.count("*").over(Window.partitionBy("g"))).repartition(3, "id"), "rows")
+    assert shuffled() > before
+    scratch.release()
+    end = time.time() + 1
+    while shuffled() > before and time.time() < end:
+        time.sleep(0.05)
+    assert shuffled() <= before
+
+
 def test_join_leaves_two_tables(spark, docs):
     """The result reads two tables; all others are deleted when it is returned."""
     from pathlib import Path
