@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import os
 import random
 import re
 import time
@@ -347,6 +348,21 @@ def test_a_place_outside_asks_for_one_edge(spark, monkeypatch):
     assert {round(r.score, 6) for r in lm.score(docs, F.lit(True)).collect()} == want and "again" in saved
 
 
+def test_scoring_keeps_only_the_closed_tree(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 30))) for i in range(40)]
+    found = []
+    save = Scratch.save
+
+    def watched(self, df, name):
+        if name == "scored":
+            found.extend(os.listdir(self.root.removeprefix("file://")))
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    assert lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 != 0).count() == 40
+    assert found and {name.split("-")[0] for name in found} == {"words", "states", "tree"}
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs whose cosine is barely above 0.95, which p-stable hashing finds least often."""
     rng = np.random.default_rng(3)
