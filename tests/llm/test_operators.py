@@ -363,6 +363,28 @@ def test_scoring_keeps_only_the_closed_tree(spark, monkeypatch):
     assert found and {name.split("-")[0] for name in found} == {"words", "states", "tree"}
 
 
+def test_shuffles_of_filters_and_parts_are_gone_while_texts_are_scored(spark, monkeypatch):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    Scratch(spark, "test").release()
+    shuffled = lambda: len([f for f in disk.getAllFiles().mkString(" ").split() if "shuffle_" in f])
+    before, found, save = shuffled(), {}, Scratch.save
+
+    def watched(self, df, name):
+        if name == "scored" or name.startswith("near"):
+            end = time.time() + 1
+            while shuffled() > before and time.time() < end:
+                time.sleep(0.05)
+            found[name] = shuffled()
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    monkeypatch.setattr(lm, "HOT_EDGES", 100)
+    monkeypatch.setattr(lm, "BUCKET_KEYS", 200)
+    docs = repeated_docs(spark)
+    assert lm.score(docs, F.lit(True)).count() == docs.count()
+    assert {"scored", "near-0", "near-1"} <= found.keys() and max(found.values()) <= before
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs whose cosine is barely above 0.95, which p-stable hashing finds least often."""
     rng = np.random.default_rng(3)
