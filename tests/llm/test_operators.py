@@ -385,6 +385,20 @@ def test_shuffles_of_filters_and_parts_are_gone_while_texts_are_scored(spark, mo
     assert {"scored", "near-0", "near-1"} <= found.keys() and max(found.values()) <= before
 
 
+def test_counting_holds_one_bucket():
+    import pyarrow as pa
+
+    keys = np.arange(8, dtype=np.uint64) << np.uint64(61)
+    packed = pa.Table.from_batches([lm._pack(0, keys, keys, None, np.full(8, 2), 4)] * 2).combine_chunks().sort_by("bucket")
+    rows = packed.to_batches(max_chunksize=1)
+    assert packed.column("bucket").to_pylist() == [0, 0, 1, 1, 2, 2, 3, 3]
+    taken = []
+    found = lm._merge(taken.append(1) or row for row in rows)
+    first = next(found)
+    assert first.num_rows == 2 and len(taken) == 3  # no more than the next bucket's first row
+    assert [n for batch in (first, *found) for n in batch.column("n").to_pylist()] == [4] * 8
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs whose cosine is barely above 0.95, which p-stable hashing finds least often."""
     rng = np.random.default_rng(3)
