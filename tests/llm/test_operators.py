@@ -399,6 +399,48 @@ def test_counting_holds_one_bucket():
     assert [n for batch in (first, *found) for n in batch.column("n").to_pylist()] == [4] * 8
 
 
+def test_counting_tells_each_contexts_sums():
+    import pyarrow as pa
+
+    u = np.uint64
+    ctx, low = np.array([1, 2, 3], u) << u(62), np.array([5, 6, 7, 8, 9], u)
+    of = ctx[[0, 0, 0, 1, 2]]
+    parts = [lm._pack(0, ctx, ctx, None, np.array([9, 2, 1]), 4), lm._pack(0, of, of, low, np.array([4, 3, 1, 1, 1]), 4)]
+    packed = pa.Table.from_batches(parts).combine_chunks().sort_by("bucket").to_batches()
+    found = [r for batch in lm._merge(packed) for r in batch.to_pylist()]
+    rows = {(r["ctx"] % 2**64 >> 62, r["low"]): (r["n"], r["rep"], r["k"], r["total"]) for r in found}
+    # three successors, two of them twice or more; then one context without, and one that occurs once
+    assert rows == {(1, None): (9, 7, 2, 9), (1, 5): (4, 7, 2, 9), (1, 6): (3, 7, 2, 9), (2, None): (2, 0, 0, 2)}
+
+
+def test_texts_just_long_enough_are_counted(spark):
+    """Passes read no text that is too short for their contexts; those of one-letter words that just fit are read."""
+    docs = spark.createDataFrame([(i, ("a b c x y z w", "k l m x y z w t", "a", "a b", None)[i % 5]) for i in range(50)], "doc_id long, text string").repartition(2)
+    found = sequences(docs.collect())
+    tree = BruteTree(found.values())
+    assert ("<start>", *"abcxyzw") in tree.states
+    got = {r.doc_id: r.score for r in lm.score(docs, F.lit(True)).collect()}
+    for i, seq in found.items():
+        assert got[i] == pytest.approx(tree.score(seq)), i
+
+
+def test_sent_tree_stays_until_texts_are_read_again(spark, monkeypatch):
+    """An executor that gave the tree back may find its file gone when it reads it again."""
+    from pyspark import Broadcast
+
+    done, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: (save(self, df, name), done.append(name))[0])
+    for name in ("unpersist", "destroy"):
+        f = getattr(Broadcast, name)
+        monkeypatch.setattr(Broadcast, name, lambda self, *a, f=f, name=name, **b: (done.append(name), f(self, *a, **b))[1])
+    monkeypatch.setattr(lm, "HOT_EDGES", 0)
+    monkeypatch.setattr(lm, "FILTER_BITS", 1 << 6)
+    docs = repeated_docs(spark)
+    assert lm.score(docs, F.lit(True)).count() == docs.count()
+    between = done[done.index("scored") : done.index("again")]
+    assert "unpersist" not in between and "destroy" not in between and "destroy" in done[done.index("again") :]
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs whose cosine is barely above 0.95, which p-stable hashing finds least often."""
     rng = np.random.default_rng(3)
